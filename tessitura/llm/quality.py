@@ -1,3 +1,299 @@
-"""placeholder"""
-def classify(docs, labels):
-    raise NotImplementedError
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
+
+The model is of characters, five at a time, one for each language, trained on every document that the label table trusts.
+Counts of all trusted text are summed by shuffle; continuation counts, discounts and context totals follow from them, and
+each order's probabilities come from joins, sharded by context, of its counts with its contexts' totals and with the next
+lower order. To score, the table is dealt into shards by the character before the predicted one, which all orders' entries
+share; a shard's size is bounded, it is broadcast, and every document is joined with it where it lies, so no n-gram
+occurrence is ever shuffled. A document stays if its perplexity is within a quantile, set for each language, of the
+trusted documents' perplexities times a margin.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._shared import CHUNK_BYTES, chunks, materialize, mix64, utf8
+
+ORDER, BITS = 5, 12
+#: Entries of a shard that is broadcast, about 24 bytes each.
+SHARD_ROWS = 6_000_000
+QUANTILE, MARGIN = 0.99, 1.1
+#: Distinct n-grams that a counting task holds before it sends them.
+HELD = 4_000_000
+
+
+def _mask(order: int) -> int:
+    return (1 << BITS * order) - 1
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code of the last ORDER characters at every character, the latest in the low bits, and each text's first place.
+
+    White space is one character; characters beyond 12 bits share codes; 0 stands before a text's start.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    code = np.where(points < 4094, points + 1, 2048 + points % 2047)
+    code[(points == 0x20) | ((points >= 0x09) & (points <= 0x0D)) | (points == 0xA0)] = 0x21
+    start = np.cumsum(sizes) - sizes
+    inner = np.arange(len(code)) - np.repeat(start, sizes)
+    out = code.copy()
+    for k in range(1, ORDER):
+        out[k:] |= np.where(inner[k:] >= k, code[:-k], 0) << BITS * k
+    return out, start
+
+
+def _texts(raw: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> list[str]:
+    return [bytes(raw[offs[i] : offs[i + 1]]).decode() for i in rows.tolist()]
+
+
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    """Language, rows and texts of chunks that hold one language."""
+    raw, offs = utf8(batch.column("text"))
+    langs = np.array(batch.column("lang").to_pylist(), object)
+    for lo, hi in chunks(offs, CHUNK_BYTES):
+        mine = langs[lo:hi]
+        for lang in sorted(set(mine.tolist())):
+            rows = lo + np.flatnonzero(mine == lang)
+            yield lang, rows, _texts(raw, offs, rows)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+    def put() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            keys, n = merged(parts)
+            for lo in range(0, len(keys), 1 << 17):
+                k = keys[lo : lo + (1 << 17)]
+                yield pa.record_batch({"lang": pa.array([lang] * len(k)), "gram": pa.array(k), "n": pa.array(n[lo : lo + (1 << 17)])})
+        held.clear()
+
+    for batch in batches:
+        for lang, _, texts in _by_language(batch):
+            code, _ = grams(texts)
+            parts = held.setdefault(lang, [])
+            parts.append(np.unique(code, return_counts=True))
+            if len(parts) > 8:
+                parts[:] = [merged(parts)]
+        if sum(len(p[0]) for parts in held.values() for p in parts) > HELD:
+            yield from put()
+    yield from put()
+
+
+def _discounts(orders: dict[int, DataFrame]) -> dict[tuple[str, int], tuple[float, float, float]]:
+    """Three discounts for each language and order, from how many n-grams occur once to four times."""
+    out = {}
+    for k, table in orders.items():
+        ones = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        for r in table.groupBy("lang").agg(*ones).collect():  # a row a language
+            n1, n2, n3, n4 = (max(1, r[f"n{i}"]) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            out[r["lang"], k] = tuple(min(i, max(0.05 * i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return out
+
+
+def train(trusted: DataFrame) -> DataFrame:
+    """The model of trusted text (lang, text): rows of kind 'p' (n-gram) and 'g' (context) with lang, level, gram, value.
+
+    value is the log probability of the n-gram's last character, or the log weight that a context leaves to the lower order.
+    """
+    spark = trusted.sparkSession
+    rows = trusted.select(F.coalesce(trusted["lang"], F.lit("")).alias("lang"), trusted["text"].alias("text"))
+    counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    orders = {ORDER: materialize(counts, "ngrams")}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit(_mask(k)))
+        orders[k] = materialize(orders[k + 1].groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "ngrams")
+    discounts = _discounts(orders)
+    if not discounts:
+        return spark.createDataFrame([], "kind string, lang string, level int, gram long, value double")
+    table = spark.createDataFrame([(lang, k, *d) for (lang, k), d in discounts.items()], "dl string, dk int, d1 double, d2 double, d3 double")
+    sizes = orders[1].groupBy(F.col("lang").alias("ul")).agg((1.0 / (F.count(F.lit(1)) + 1)).alias("lower"))
+    lower, parts = None, []
+    for k in range(1, ORDER + 1):
+        own = table.where(F.col("dk") == k).drop("dk")
+        t = orders[k].join(F.broadcast(own), F.col("lang") == F.col("dl")).withColumn("ctx", F.shiftright("gram", BITS))
+        held = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        totals = t.groupBy(F.col("lang").alias("cl"), F.col("ctx").alias("cc")).agg(F.sum("n").alias("total"), F.sum(held).alias("freed"))
+        totals = materialize(totals.withColumn("gamma", F.col("freed") / F.col("total")), "contexts")
+        joined = t.join(totals, (F.col("lang") == F.col("cl")) & (F.col("ctx") == F.col("cc")))
+        if k == 1:
+            joined = joined.join(F.broadcast(sizes), F.col("lang") == F.col("ul"))
+        else:
+            joined = joined.join(lower, (F.col("lang") == F.col("ll")) & (F.col("gram").bitwiseAND(F.lit(_mask(k - 1))) == F.col("lg")))
+        p = (F.col("n") - held) / F.col("total") + F.col("gamma") * F.col("lower")
+        found = materialize(joined.select("lang", "gram", p.alias("p")), "probabilities")
+        lower = found.select(F.col("lang").alias("ll"), F.col("gram").alias("lg"), F.col("p").alias("lower"))
+        parts.append(found.select(F.lit("p").alias("kind"), "lang", F.lit(k).alias("level"), "gram", F.log("p").alias("value")))
+        parts.append(totals.select(F.lit("g").alias("kind"), F.col("cl").alias("lang"), F.lit(k).alias("level"), F.col("cc").alias("gram"), F.log("gamma").alias("value")))
+    model = parts[0]
+    for part in parts[1:]:
+        model = model.unionByName(part)
+    return model
+
+
+class _Hash:
+    """64-bit keys to values, open addressing in flat arrays."""
+
+    EMPTY = np.int64(-1)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, math.ceil(math.log2(2 * len(keys) + 1)))
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, np.float32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] == self.EMPTY
+            self.keys[at[free]] = keys[left[free]]
+            mine = self.keys[at] == keys[left]
+            self.values[at[mine]] = values[left[mine]]
+            left = left[~mine]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys.view(np.uint64)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which keys there are."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        found = there == keys
+        out = self.values[slot]
+        left = np.flatnonzero(~found & (there != self.EMPTY))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            found[left[hit]] = True
+            left = left[~hit & (there != self.EMPTY)]
+        return out, found
+
+
+class Shard:
+    """The part of the model for some characters before the predicted one."""
+
+    def __init__(self, table: pa.Table, previous: dict[str, set[int]] | None) -> None:
+        self.previous = previous
+        self.tables: dict[tuple[str, str, int], _Hash] = {}
+        self.unknown: dict[str, float] = {}
+        kinds, levels = np.array(table.column("kind").to_pylist(), object), table.column("level").to_numpy()
+        langs, keys, values = np.array(table.column("lang").to_pylist(), object), table.column("gram").to_numpy(), table.column("value").to_numpy()
+        tag = np.unique(langs.astype(str)) if len(langs) else []
+        for lang in tag:
+            of = langs == lang
+            for kind in "pg":
+                for level in range(1, ORDER + 1):
+                    mine = np.flatnonzero(of & (kinds == kind) & (levels == level))
+                    self.tables[str(lang), kind, level] = _Hash(keys[mine].copy(), values[mine])
+            lower = -math.log(int((of & (kinds == "p") & (levels == 1)).sum()) + 1)
+            weight, there = self.tables[str(lang), "g", 1].get(np.zeros(1, np.int64))
+            self.unknown[str(lang)] = lower + (float(weight[0]) if there[0] else 0.0)
+
+    def log_probabilities(self, lang: str, code: np.ndarray) -> np.ndarray:
+        """Of every code's last character, given the ones before."""
+        out = np.zeros(len(code))
+        left = np.arange(len(code))
+        for level in range(ORDER, 0, -1):
+            mine = code[left]
+            value, found = self.tables[lang, "p", level].get(mine & _mask(level))
+            out[left[found]] += value[found]
+            left, mine = left[~found], mine[~found]
+            if not len(left):
+                return out
+            if level > 1:
+                weight, there = self.tables[lang, "g", level].get((mine >> BITS) & _mask(level - 1))
+                out[left[there]] += weight[there]
+        out[left] += self.unknown[lang]
+        return out
+
+
+def _scored(shard: Broadcast[Shard]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shard.value
+        for batch in batches:
+            n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            for lang, rows, texts in _by_language(batch):
+                code, start = grams(texts)
+                if lang not in model.unknown or not len(code):
+                    continue
+                sizes = np.diff(np.r_[start, len(code)])
+                owner = np.repeat(rows, sizes)
+                if model.previous is not None:
+                    ours = np.isin((code >> BITS) & _mask(1), list(model.previous.get(lang, ())))
+                    code, owner = code[ours], owner[ours]
+                np.add.at(total, owner, model.log_probabilities(lang, code))
+                n += np.bincount(owner, minlength=len(batch))
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "crc": batch.column("crc"), "size": batch.column("size"), "n": pa.array(n), "total": pa.array(total)})
+
+    return run
+
+
+def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, lang, size (in characters) and perplexity of every document's whole text; null where its language has no model or it is empty."""
+    spark = docs.sparkSession
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.crc32(text).alias("crc"), F.length(text).cast("long").alias("size"))
+    previous = F.when(F.col("kind") == "p", F.shiftright("gram", BITS).bitwiseAND(F.lit(_mask(1)))).otherwise(F.col("gram").bitwiseAND(F.lit(_mask(1))))
+    tagged = model.withColumn("previous", F.when(F.col("level") > 1, previous))
+    # At most languages * 2^12 rows: how many entries each character before the predicted one has.
+    sizes = sorted(tagged.where(F.col("previous").isNotNull()).groupBy("lang", "previous").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (-r["n"], r["lang"], r["previous"]))
+    shards = max(1, -(-sum(r["n"] for r in sizes) // shard_rows))
+    load, home = [0] * shards, {}
+    for r in sizes:
+        k = load.index(min(load))
+        load[k] += r["n"]
+        home[r["lang"], r["previous"]] = k
+    schema = "doc_id long, lang string, crc long, size long, n long, total double"
+    parts = []
+    for k in range(shards):
+        if shards == 1:
+            mine, own = tagged, None
+        else:
+            own = {}
+            for (lang, p), at in home.items():
+                if at == k:
+                    own.setdefault(lang, set()).add(p)
+            dealt = spark.createDataFrame([(lang, p) for lang, ps in own.items() for p in sorted(ps)], "dl string, dp long")
+            mine = tagged.where(F.col("previous").isNull()).unionByName(tagged.join(dealt, (F.col("lang") == F.col("dl")) & (F.col("previous") == F.col("dp")), "left_semi"))
+        shard = spark.sparkContext.broadcast(Shard(mine.select("kind", "lang", "level", "gram", "value").toArrow(), own))
+        parts.append(rows.mapInArrow(_scored(shard), schema))
+    found = parts[0]
+    if shards > 1:
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        found = found.groupBy("doc_id", "lang", "crc", "size").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return found.select("doc_id", "lang", "size", F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))).alias("perplexity"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Every document's doc_id, lang, perplexity, threshold (its language's) and kept.
+
+    Trusted are the documents with a label of quality 1. Cases: null and empty texts have no perplexity and aren't kept;
+    a document whose language has no trusted text has no perplexity and is kept, as nothing speaks against it; a null lang
+    is a language of its own, named by the empty string; a doc_id with several labels is trusted if one of them is 1;
+    repeated rows are scored each (as one, if the model takes several shards); empty tables give no rows.
+    """
+    trusted = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("trusted_id")).distinct()
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
+    model = train(texts.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi"))
+    scored = materialize(score(docs, model, shard_rows), "perplexity")
+    sample = scored.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").where(F.col("perplexity").isNotNull())
+    limits = sample.groupBy(F.col("lang").alias("limit_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
+    joined = scored.join(limits, F.col("lang") == F.col("limit_lang"), "left")
+    kept = (F.col("size") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return joined.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
