@@ -185,10 +185,10 @@ class _Hash:
 
 
 class Shard:
-    """The part of the model for some characters before the predicted one."""
+    """The part of the model for the characters ``own`` before the predicted one, or for all but ``others``."""
 
-    def __init__(self, table: pa.Table, previous: dict[str, set[int]] | None) -> None:
-        self.previous = previous
+    def __init__(self, table: pa.Table, own: dict[str, set[int]] | None = None, others: dict[str, set[int]] | None = None) -> None:
+        self.own, self.others = own, others or {}
         self.tables: dict[tuple[str, str, int], _Hash] = {}
         self.unknown: dict[str, float] = {}
         kinds, levels = np.array(table.column("kind").to_pylist(), object), table.column("level").to_numpy()
@@ -233,8 +233,12 @@ def _scored(shard: Broadcast[Shard]):
                     continue
                 sizes = np.diff(np.r_[start, len(code)])
                 owner = np.repeat(rows, sizes)
-                if model.previous is not None:
-                    ours = np.isin((code >> BITS) & _mask(1), list(model.previous.get(lang, ())))
+                before = (code >> BITS) & _mask(1)
+                if model.own is not None:
+                    ours = np.isin(before, list(model.own.get(lang, ())))
+                    code, owner = code[ours], owner[ours]
+                elif model.others.get(lang):
+                    ours = ~np.isin(before, list(model.others[lang]))
                     code, owner = code[ours], owner[ours]
                 np.add.at(total, owner, model.log_probabilities(lang, code))
                 n += np.bincount(owner, minlength=len(batch))
@@ -261,16 +265,15 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
     schema = "doc_id long, lang string, crc long, size long, n long, total double"
     parts = []
     for k in range(shards):
-        if shards == 1:
-            mine, own = tagged, None
-        else:
-            own = {}
-            for (lang, p), at in home.items():
-                if at == k:
-                    own.setdefault(lang, set()).add(p)
-            dealt = spark.createDataFrame([(lang, p) for lang, ps in own.items() for p in sorted(ps)], "dl string, dp long")
+        mine, own, others = tagged, {}, {}
+        if shards > 1:
+            dealt = spark.createDataFrame([(*x, at) for x, at in home.items()], "dl string, dp long, home int").where(F.col("home") == k)
             mine = tagged.where(F.col("previous").isNull()).unionByName(tagged.join(dealt, (F.col("lang") == F.col("dl")) & (F.col("previous") == F.col("dp")), "left_semi"))
-        shard = spark.sparkContext.broadcast(Shard(mine.select("kind", "lang", "level", "gram", "value").toArrow(), own))
+            for (lang, p), at in home.items():
+                (own if at == k else others).setdefault(lang, set()).add(p)
+        # The first shard also takes the characters that trusted text never has before another.
+        table = mine.select("kind", "lang", "level", "gram", "value").toArrow()
+        shard = spark.sparkContext.broadcast(Shard(table, own) if k else Shard(table, None, others))
         parts.append(rows.mapInArrow(_scored(shard), schema))
     found = parts[0]
     if shards > 1:
