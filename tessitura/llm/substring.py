@@ -73,20 +73,56 @@ def _repeated(anchor: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarra
     return out
 
 
-def _answers(ids: np.ndarray, crcs: np.ndarray, doc: np.ndarray, start: np.ndarray) -> dict[str, pa.Array]:
-    """Runs of repeated windows, as (start, length) pairs of 32 bits, one row a document; doc and start ascend."""
+def _answers(ids: np.ndarray, crcs: np.ndarray, doc: np.ndarray, start: np.ndarray, lanes: int) -> tuple[np.ndarray, list[bytes]]:
+    """Runs of repeated windows, packed by lane: ids, checksums and numbers of runs, then (start, length) pairs of 32 bits.
+
+    doc and start ascend; a document's lane is a hash of its id.
+    """
     fresh = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]
     first = np.flatnonzero(fresh)
     pairs = np.empty((len(first), 2), np.int32)
     pairs[:, 0], pairs[:, 1] = start[first], np.diff(np.r_[first, len(doc)])
     owner = doc[first]
-    head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    ends = np.r_[head, len(first)].astype(np.int32) * 8
-    runs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())])
-    return {"doc_id": pa.array(ids[owner[head]], pa.int64()), "crc": pa.array(crcs[owner[head]].astype(np.int64)), "runs": runs}
+    lane = (mix64(ids.view(np.uint64)) % np.uint64(lanes)).astype(np.int32)[owner]
+    order = np.argsort(lane, kind="stable")
+    pairs, owner, lane = pairs[order], owner[order], lane[order]
+    edge = np.flatnonzero(np.r_[True, lane[1:] != lane[:-1], True])
+    blobs = []
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        head = np.flatnonzero(np.r_[True, owner[lo + 1 : hi] != owner[lo : hi - 1]])
+        docs = owner[lo + head]
+        runs = np.diff(np.r_[head, hi - lo]).astype(np.uint32)
+        blobs.append(b"".join((_COUNT.pack(len(docs)), ids[docs].tobytes(), crcs[docs].tobytes(), runs.tobytes(), pairs[lo:hi].tobytes())))
+    return lane[edge[:-1]], blobs
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All answers of a lane, one row a document."""
+    ids, crcs, runs, pairs = [], [], [], []
+    for batch in batches:
+        for blob in batch.column("runs").to_pylist():
+            (n,) = _COUNT.unpack_from(blob)
+            at = _COUNT.size
+            ids.append(np.frombuffer(blob, np.int64, n, at))
+            crcs.append(np.frombuffer(blob, np.uint32, n, at + 8 * n))
+            runs.append(np.frombuffer(blob, np.uint32, n, at + 12 * n))
+            pairs.append(np.frombuffer(blob, np.int64, -1, at + 16 * n))
+    if not ids:
+        return
+    count = np.concatenate(runs)
+    doc, crc = (np.repeat(np.concatenate(x), count) for x in (ids, crcs))
+    order = np.lexsort((crc, doc))
+    doc, crc, packed = doc[order], crc[order], np.concatenate(pairs)[order]
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])])
+    for lo in range(0, len(head), 1 << 14):
+        mine = head[lo : lo + (1 << 14)]
+        end = head[lo + len(mine)] if lo + len(mine) < len(head) else len(doc)
+        ends = (np.r_[mine, end] - mine[0]).astype(np.int32) * 8
+        column = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed[mine[0] : end].tobytes())])
+        yield pa.record_batch({"doc_id": pa.array(doc[mine]), "crc": pa.array(crc[mine].astype(np.int64)), "answers": column})
 
 
-_HEAD = struct.Struct("<III")
+_HEAD, _COUNT = struct.Struct("<III"), struct.Struct("<Q")
 
 
 def _pack(ids: np.ndarray, crcs: np.ndarray, doc: np.ndarray, start: np.ndarray, anchor: np.ndarray, low: np.ndarray) -> bytes:
@@ -138,47 +174,48 @@ def _asked(blocks: int, size: int):
                     continue
                 found = _repeated(anchor, low, ids[doc])
                 if found.any():
-                    rows = _answers(ids, crcs, doc[found], start[found])
-                    n = len(rows["doc_id"])
-                    to = np.arange(n, dtype=np.int64) % blocks
-                    yield pa.record_batch({"block": pa.array(to.astype(np.int32)), **rows})
+                    lane, blobs = _answers(ids, crcs, doc[found], start[found], blocks)
+                    yield pa.record_batch({"block": pa.array(lane), "answer": pa.array(np.ones(len(lane), bool)), "runs": pa.array(blobs, pa.binary())})
                 keep = np.flatnonzero(~found)
                 to = (anchor[keep] % np.uint64(blocks)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
                 keep, to = keep[order], to[order]
                 edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
                 blobs = [_pack(ids, crcs, doc[p], start[p], anchor[p], low[p]) for p in (keep[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True))]
-                none = pa.nulls(len(blobs), pa.int64())
-                yield pa.record_batch({"block": pa.array(to[edge[:-1]]), "doc_id": none, "crc": none, "runs": pa.array(blobs, pa.binary())})
+                yield pa.record_batch({"block": pa.array(to[edge[:-1]]), "answer": pa.array(np.zeros(len(blobs), bool)), "runs": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The answers of one reference block; answers that tasks gave themselves pass through."""
-    blobs: list[bytes] = []
-    for batch in batches:
-        own = batch.column("doc_id").is_valid()
-        if own.true_count:
-            yield pa.record_batch({c: batch.column(c).filter(own) for c in ("doc_id", "crc", "runs")})
-        blobs.extend(batch.column("runs").filter(pa.compute.invert(own)).to_pylist())
-    if not blobs:
-        return
-    parts = [_unpack(b) for b in blobs]
-    shift = np.cumsum([0, *(len(p[0]) for p in parts[:-1])])
-    ids, crcs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    doc = np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=True)])
-    start, anchor, low = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
-    del parts, blobs
-    found = np.flatnonzero(_repeated(anchor, low, ids[doc]))
-    for lo in range(0, len(found), 1 << 20):
-        part = found[lo : lo + (1 << 20)]
-        yield pa.record_batch(_answers(ids, crcs, doc[part], start[part]))
-
-
-def factors(runs: list[bytes], size: int = WINDOW) -> list[tuple[int, int]]:
+def _answered(lanes: int):
+    """The answers of one reference block, packed by lane; answers that tasks gave themselves pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        for batch in batches:
+            own = batch.column("answer")
+            if own.true_count:
+                yield pa.record_batch({"lane": batch.column("block").filter(own), "runs": batch.column("runs").filter(own)})
+            blobs.extend(batch.column("runs").filter(pa.compute.invert(own)).to_pylist())
+        if not blobs:
+            return
+        parts = [_unpack(b) for b in blobs]
+        shift = np.cumsum([0, *(len(p[0]) for p in parts[:-1])])
+        ids, crcs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        doc = np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=True)])
+        start, anchor, low = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
+        del parts, blobs
+        found = np.flatnonzero(_repeated(anchor, low, ids[doc]))
+        if len(found):
+            lane, blobs = _answers(ids, crcs, doc[found], start[found], lanes)
+            yield pa.record_batch({"lane": pa.array(lane), "runs": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def factors(runs: bytes, size: int = WINDOW) -> list[tuple[int, int]]:
     """Greedy factors [start, end) in words from runs of found windows, joined where they overlap or touch."""
-    pairs = np.concatenate([np.frombuffer(r, np.int32).reshape(-1, 2) for r in runs]).astype(np.int64)
+    pairs = np.frombuffer(runs, np.int32).reshape(-1, 2).astype(np.int64)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     lo, hi = pairs[:, 0], np.maximum.accumulate(pairs[:, 0] + pairs[:, 1] - 1 + size)
     first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
@@ -224,9 +261,10 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, *, with_text: bool = Tru
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    asked = rows.mapInArrow(_asked(n, size), "block int, doc_id long, crc long, runs binary")
-    answers = asked.repartitionById(n, F.col("block")).select("doc_id", "crc", "runs").mapInArrow(_answered, "doc_id long, crc long, runs binary")
-    gathered = answers.groupBy(F.col("doc_id").alias("d"), F.col("crc").alias("c")).agg(F.collect_list("runs").alias("answers"))
+    asked = rows.mapInArrow(_asked(n, size), "block int, answer boolean, runs binary")
+    answers = asked.repartitionById(n, F.col("block")).mapInArrow(_answered(n), "lane int, runs binary")
+    gathered = answers.repartitionById(n, F.col("lane")).mapInArrow(_gathered, "doc_id long, crc long, answers binary")
+    gathered = gathered.select(F.col("doc_id").alias("d"), F.col("crc").alias("c"), "answers")
     keyed = rows.withColumn("crc", F.crc32(F.coalesce("text", F.lit(""))))
     joined = keyed.join(gathered, (F.col("doc_id") == F.col("d")) & (F.col("crc") == F.col("c")), "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<start: long, end: long>>" * with_text
