@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None):
         return function
 
     return register
+
+
+from .plans import array_queries, series_queries, window_queries  # noqa: E402, F401  they register themselves
