@@ -1,16 +1,19 @@
 """WARC archives: written with an index first, read back by coalesced byte ranges.
 
-A page's record is one string, so Spark's own text writer makes the archives on any file system it knows and commits them
-as it does all its output. Every record's length is known before anything is written; running sums per archive give the
-index (archive, offset, length, URL, digest), which is written as a table of its own. Reading goes from the index:
-selected records are sorted by archive and offset, neighbouring ranges are joined into reads of bounded length, and each
-record is parsed and its payload hashed anew.
+A task writes its records one after another, each a gzip member of its own, into archives of bounded size in the shared
+folder, and hands on where each lies. These rows are the index (file, offset, length, URL, digest), written as a table
+before anything is read. An archive has a name of its own for each attempt, so a task that runs again writes another file
+and the index, which Spark commits, names only what counts. Reading goes from the index: selected records are sorted by
+file and offset, neighbouring ranges are joined into reads of bounded length, and each record is unpacked, parsed and its
+payload hashed anew.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +21,8 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ._shared import fresh_path, partitions
+from ._shared import fresh_path, materialize, partitions
 
 #: Wanted size of an archive in bytes.
 ARCHIVE_BYTES = 128 << 20
@@ -28,8 +30,9 @@ ARCHIVE_BYTES = 128 << 20
 REVISIT_BYTES = 100
 #: One read spans gaps up to GAP and grows to READ_BYTES at most, unless a record alone is longer.
 GAP, READ_BYTES = 64 << 10, 8 << 20
-#: What ends a record; the text writer puts it after each.
+#: What ends a header and a record.
 END = "\r\n\r\n"
+INDEX = "page_id long, url string, digest string, file string, offset long, length long"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -39,7 +42,7 @@ def _clean(column: Column) -> Column:
 
 
 def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """One WARC record a page: page_id, url, digest, record (text without its end) and length (with it).
+    """One WARC record a page: page_id, url, digest and record (its text).
 
     Of equal payloads of at least ``revisit_bytes`` the smallest page_id is a response and the others revisit it.
     """
@@ -63,36 +66,54 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
         F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")),
         F.lit(END),
     )
-    record = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("body")))
-    out = rows.select("page_id", "url", "digest", record.alias("record"))
-    return out.withColumn("length", (F.octet_length("record") + len(END)).cast("long"))
+    record = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("body")), F.lit(END))
+    return rows.select("page_id", "url", "digest", record.alias("record"))
+
+
+def _source(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a URI as Spark writes it."""
+    if uri.startswith("file:") or uri.startswith("/"):
+        return pyarrow.fs.LocalFileSystem(), re.sub("^(file:)?/*", "/", uri)
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", uri))
+
+
+def _written(folder: str, archive_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = _source(folder)
+        name, out, at = "", None, 0
+        for batch in batches:
+            names, offsets, lengths = [], [], []
+            for record in batch.column("record").to_pylist():
+                if out is None or at >= archive_bytes:
+                    if out is not None:
+                        out.close()
+                    else:
+                        system.create_dir(path, recursive=True)
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = system.open_output_stream(f"{path}/{name}", compression=None)
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = packer.compress(record.encode()) + packer.flush()
+                out.write(member)
+                names.append(name)
+                offsets.append(at)
+                lengths.append(len(member))
+                at += len(member)
+            yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "digest": batch.column("digest"), "file": pa.array(names, pa.string()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
+        if out is not None:
+            out.close()
+
+    return run
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Write ``path/index`` (parquet) and ``path/data`` (archives); returns the index as read back.
+    """Write ``path/data`` (archives) and ``path/index`` (parquet); returns the index as read back.
 
-    Index: page_id, url, digest, archive, offset, length.
+    Index: page_id, url, digest, file, offset, length.
     """
-    spark = pages.sparkSession
     made = records(pages, revisit_bytes)
-    total = pages.agg(F.sum(F.octet_length("html")), F.count(F.lit(1))).first()
-    n = max(1, partitions(spark) // 4, -(-((total[0] or 0) + 512 * total[1]) // archive_bytes))
-    # Which archive a record goes to hangs on nothing but the row, so index and data agree even when a task runs again.
-    made = made.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(n)).cast("int"))
-    order = [F.col("archive"), F.col("page_id"), F.col("digest"), F.col("url")]
-    running = W.partitionBy("archive").orderBy(*order[1:]).rowsBetween(W.unboundedPreceding, -1)
-    index = made.withColumn("offset", F.coalesce(F.sum("length").over(running), F.lit(0)))
-    index.select("page_id", "url", "digest", "archive", "offset", "length").write.parquet(f"{path}/index")
-    data = made.repartitionById(n, F.col("archive")).sortWithinPartitions(*order)
-    data.select(F.col("record").alias("value"), "archive").write.partitionBy("archive").option("lineSep", END).text(f"{path}/data")
-    return spark.read.parquet(f"{path}/index")
-
-
-def _source(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system and path of a URI as Spark writes it."""
-    if uri.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)
-    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", uri))
+    index = made.select(F.col("page_id").cast("long").alias("page_id"), "url", "digest", "record").mapInArrow(_written(f"{path}/data", archive_bytes), INDEX)
+    index.write.parquet(f"{path}/index")
+    return pages.sparkSession.read.schema(INDEX).parquet(f"{path}/index")
 
 
 _FIELD = re.compile(rb"\r\n([A-Za-z-]+): ([^\r\n]*)")
@@ -118,18 +139,21 @@ def coalesced(offsets: np.ndarray, lengths: np.ndarray, gap: int = GAP, most: in
     return out
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        files, archives = batch.column("file").to_pylist(), batch.column("archive").to_numpy()
-        offsets, lengths = batch.column("offset").to_numpy(), batch.column("length").to_numpy()
-        edges = np.flatnonzero(np.r_[True, archives[1:] != archives[:-1], True]) if len(files) else [0]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            system, path = _source(files[lo])
-            with system.open_input_file(path) as file:
-                for a, b in coalesced(offsets[lo:hi], lengths[lo:hi]):
-                    start = int(offsets[lo + a])
-                    raw = file.read_at(int(offsets[lo + b - 1] + lengths[lo + b - 1]) - start, start)
-                    yield _parsed([raw[int(offsets[i]) - start :][: int(lengths[i])] for i in range(lo + a, lo + b)])
+def _read(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = _source(folder)
+        for batch in batches:
+            files = batch.column("file").to_pylist()
+            offsets, lengths = batch.column("offset").to_numpy(), batch.column("length").to_numpy()
+            edges = [i for i in range(len(files) + 1) if i in (0, len(files)) or files[i] != files[i - 1]]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                with system.open_input_file(f"{path}/{files[lo]}") as file:
+                    for a, b in coalesced(offsets[lo:hi], lengths[lo:hi]):
+                        start = int(offsets[lo + a])
+                        raw = file.read_at(int(offsets[lo + b - 1] + lengths[lo + b - 1]) - start, start)
+                        yield _parsed([zlib.decompress(raw[int(offsets[i]) - start :][: int(lengths[i])], 31) for i in range(lo + a, lo + b)])
+
+    return run
 
 
 def _page(name: str | None) -> int | None:
@@ -157,14 +181,11 @@ def read_records(path: str, selected: DataFrame) -> DataFrame:
     Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload. A revisit's payload_bytes is
     that of the response it refers to; its payload is null.
     """
-    spark = selected.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/data").select(F.col("path").alias("file"), F.regexp_extract("path", r"/archive=(\d+)/", 1).cast("int").alias("a"))
-    located = selected.join(files, F.col("archive") == F.col("a")).select("archive", "offset", "length", "file")
-    # An archive's size is bounded, so all that is wanted of it fits one task; a task reads its archives in turn.
-    dealt = located.repartition(partitions(spark), "archive").sortWithinPartitions("archive", "offset")
+    # A file's size is bounded, so all that is wanted of it fits one task; a task reads its files in turn.
+    located = selected.select("file", "offset", "length")
+    dealt = located.repartition(partitions(selected.sparkSession), "file").sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-    read = dealt.mapInArrow(_read, schema)
-    return read
+    return dealt.mapInArrow(_read(f"{path}/data"), schema)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, *, archive_bytes: int = ARCHIVE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -178,10 +199,7 @@ def round_trip(pages: DataFrame, path: str | None = None, *, archive_bytes: int
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     index = write_archives(pages, path, archive_bytes, revisit_bytes)
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    if index.isEmpty():
-        return spark.createDataFrame([], schema)
-    read = read_records(path, index).drop("payload", "url")
+    read = materialize(read_records(path, index).drop("payload", "url"), "warc-read")
     sizes = read.where(F.col("record_type") == "response").groupBy(F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("full"))
     joined = read.join(sizes, F.col("payload_digest") == F.col("digest"))
     return joined.select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
