@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ._shared import CHUNK_BYTES, chunks, materialize, mix64, utf8
 
 ORDER, BITS = 5, 12
 #: Entries of a shard that is broadcast, about 24 bytes each.
-SHARD_ROWS = 6_000_000
+SHARD_ROWS = 2_000_000
 QUANTILE, MARGIN = 0.99, 1.1
 #: Distinct n-grams that a counting task holds before it sends them.
 HELD = 4_000_000
@@ -191,18 +192,16 @@ class Shard:
         self.own, self.others = own, others or {}
         self.tables: dict[tuple[str, str, int], _Hash] = {}
         self.unknown: dict[str, float] = {}
-        kinds, levels = np.array(table.column("kind").to_pylist(), object), table.column("level").to_numpy()
-        langs, keys, values = np.array(table.column("lang").to_pylist(), object), table.column("gram").to_numpy(), table.column("value").to_numpy()
-        tag = np.unique(langs.astype(str)) if len(langs) else []
-        for lang in tag:
-            of = langs == lang
-            for kind in "pg":
+        for lang in pa.compute.unique(table.column("lang")).to_pylist():
+            of = table.filter(pa.compute.equal(table.column("lang"), lang))
+            grams_of, levels, keys, values = pa.compute.equal(of.column("kind"), "p").to_numpy(), *(of.column(c).to_numpy() for c in ("level", "gram", "value"))
+            for kind, own_kind in (("p", grams_of), ("g", ~grams_of)):
                 for level in range(1, ORDER + 1):
-                    mine = np.flatnonzero(of & (kinds == kind) & (levels == level))
-                    self.tables[str(lang), kind, level] = _Hash(keys[mine].copy(), values[mine])
-            lower = -math.log(int((of & (kinds == "p") & (levels == 1)).sum()) + 1)
-            weight, there = self.tables[str(lang), "g", 1].get(np.zeros(1, np.int64))
-            self.unknown[str(lang)] = lower + (float(weight[0]) if there[0] else 0.0)
+                    mine = np.flatnonzero(own_kind & (levels == level))
+                    self.tables[lang, kind, level] = _Hash(keys[mine].copy(), values[mine])
+            lower = -math.log(int((grams_of & (levels == 1)).sum()) + 1)
+            weight, there = self.tables[lang, "g", 1].get(np.zeros(1, np.int64))
+            self.unknown[lang] = lower + (float(weight[0]) if there[0] else 0.0)
 
     def log_probabilities(self, lang: str, code: np.ndarray) -> np.ndarray:
         """Of every code's last character, given the ones before."""
@@ -272,8 +271,9 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
             for (lang, p), at in home.items():
                 (own if at == k else others).setdefault(lang, set()).add(p)
         # The first shard also takes the characters that trusted text never has before another.
-        table = mine.select("kind", "lang", "level", "gram", "value").toArrow()
+        table = mine.select("kind", "lang", "level", "gram", F.col("value").cast("float").alias("value")).toArrow()
         shard = spark.sparkContext.broadcast(Shard(table, own) if k else Shard(table, None, others))
+        del table
         parts.append(rows.mapInArrow(_scored(shard), schema))
     found = parts[0]
     if shards > 1:
@@ -293,10 +293,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE,
     """
     trusted = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("trusted_id")).distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    model = train(texts.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi"))
+    # Texts meet their labels by shuffle at every size; a broadcast would be bounded by nothing.
+    model = train(texts.join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi"))
     scored = materialize(score(docs, model, shard_rows), "perplexity")
     sample = scored.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").where(F.col("perplexity").isNotNull())
     limits = sample.groupBy(F.col("lang").alias("limit_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
-    joined = scored.join(limits, F.col("lang") == F.col("limit_lang"), "left")
+    joined = scored.join(F.broadcast(limits), F.col("lang") == F.col("limit_lang"), "left")
     kept = (F.col("size") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
