@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-FILE = T.StructType.fromDDL("id BIGINT, filename STRING, mbid STRING, hasseed INT, raagaid STRING, tonic DOUBLE")
-PATTERN = T.StructType.fromDDL("id BIGINT, file_id BIGINT, start_time DOUBLE, end_time DOUBLE, pair_id BIGINT, isseed INT")
-MATCH = T.StructType.fromDDL("id BIGINT, source_id BIGINT, target_id BIGINT, distance DOUBLE, version INT")
-NETWORK = T.StructType.fromDDL("source_id BIGINT, target_id BIGINT, distance DOUBLE")
+#: Schemas of the four tables.
+FILE = "id BIGINT, filename STRING, mbid STRING, hasseed INT, raagaid STRING, tonic DOUBLE"
+PATTERN = "id BIGINT, file_id BIGINT, start_time DOUBLE, end_time DOUBLE, pair_id BIGINT, isseed INT"
+MATCH = "id BIGINT, source_id BIGINT, target_id BIGINT, distance DOUBLE, version INT"
+NETWORK = "source_id BIGINT, target_id BIGINT, distance DOUBLE"
 
 
 def load_discovery(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
