@@ -16,15 +16,15 @@ from pyspark.sql import Window as W
 EMPTY = 3.4028234e38
 
 SCHEMAS = {
-    "pitch": ("\t", "t DOUBLE, value DOUBLE"),
-    "tonic": ("\t", "tonic DOUBLE"),
-    "segments": (" ", "seg_start DOUBLE, seg_end DOUBLE"),
-    "motifs": (r"\s+", "s1 DOUBLE, e1 DOUBLE, s2 DOUBLE, e2 DOUBLE, dist DOUBLE, ind1 BIGINT, ind2 BIGINT"),
-    "pattern_info": (r"\s+", "id BIGINT, s_time DOUBLE, e_time DOUBLE"),
-    "neighbours": (r"\s+", "id1 BIGINT, id2 BIGINT, dist DOUBLE"),
-    "subsequence_info": (r"\s+", "s_time DOUBLE, duration DOUBLE, file_id INT, query_idx INT, label INT"),
-    "blacklist": (r"\s+", "flag INT"),
-    "transcription": (r"\s+", "s_time DOUBLE, e_time DOUBLE, level DOUBLE"),
+    "pitch": "t DOUBLE, value DOUBLE",
+    "tonic": "tonic DOUBLE",
+    "segments": "seg_start DOUBLE, seg_end DOUBLE",
+    "motifs": "s1 DOUBLE, e1 DOUBLE, s2 DOUBLE, e2 DOUBLE, dist DOUBLE, ind1 BIGINT, ind2 BIGINT",
+    "pattern_info": "id BIGINT, s_time DOUBLE, e_time DOUBLE",
+    "neighbours": "id1 BIGINT, id2 BIGINT, dist DOUBLE",
+    "subsequence_info": "s_time DOUBLE, duration DOUBLE, file_id INT, query_idx INT, label INT",
+    "blacklist": "flag INT",
+    "transcription": "s_time DOUBLE, e_time DOUBLE, level DOUBLE",
 }
 
 
@@ -37,8 +37,7 @@ def read_fields(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
     Lines with too few fields, and fields that aren't numbers, raise an error.
     """
-    _, ddl = SCHEMAS[kind]
-    fields = [f.split() for f in ddl.split(", ")]
+    fields = [f.split() for f in SCHEMAS[kind].split(", ")]
     lines = spark.read.text(path).select(base_name(F.col("_metadata.file_path")).alias("rec"), F.col("_metadata.file_block_start").alias("_block"), F.col("value"), F.monotonically_increasing_id().alias("_at"))
     # Files are split in order, and rows of a split are in order: the id of a row orders the lines of a file.
     numbered = lines.where(F.trim("value") != "").withColumn("line", (F.row_number().over(W.partitionBy("rec").orderBy("_block", "_at")) - 1).cast("long"))
