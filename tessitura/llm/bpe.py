@@ -13,7 +13,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from ._shared import utf8
+from ._shared import CHUNK_BYTES, utf8
 
 #: Words remembered by a worker; the table starts anew when it is full.
 CACHED_WORDS = 400_000
@@ -71,41 +70,51 @@ class ByteBPE:
         self.find = regex.compile(self.PATTERN).findall
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of every word, by merge rounds over all of them at once."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word, packed as 32-bit integers, by merge rounds over all of them at once."""
+        out = [b""] * len(words)
         lens = np.array([len(w) for w in words], np.int64)
         sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lens)
         none = np.int64(1 << 40)
+        n = len(sym)
+        rank, into, stale = np.full(n, none), np.zeros(n, np.int64), np.arange(n)
+        inner = np.zeros(n, bool)
+        inner[:-1] = word[:-1] == word[1:]
         while len(sym):
-            inner = word[:-1] == word[1:]
-            key = sym[:-1] << 32 | sym[1:]
+            # Only pairs that a merge has changed are looked up again.
+            live = stale[inner[stale]]
+            key = sym[live] << 32 | sym[live + 1]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = inner & (self.keys[at] == key)
-            rank = np.full(len(sym), none)
-            rank[:-1][hit] = self.ranks[at[hit]]
-            first = np.flatnonzero(np.r_[True, ~inner])
+            hit = self.keys[at] == key
+            rank[stale] = none
+            rank[live[hit]], into[live[hit]] = self.ranks[at[hit]], self.merged[at[hit]]
+            first = np.flatnonzero(np.r_[True, ~inner[:-1]])
             best = np.minimum.reduceat(rank, first)
             done = best == none
             span = np.diff(np.r_[first, len(sym)])
             if done.any():
-                ids = sym.tolist()
-                for a, n, w in zip(first[done].tolist(), span[done].tolist(), word[first[done]].tolist(), strict=True):
-                    out[w] = tuple(ids[a : a + n])
-            pick = (rank == np.repeat(best, span)) & (rank < none)
-            places = np.flatnonzero(pick)
+                ids = sym.astype("<i4").tobytes()
+                for a, n, w in zip((4 * first[done]).tolist(), (4 * span[done]).tolist(), word[first[done]].tolist(), strict=True):
+                    out[w] = ids[a : a + n]
+            places = np.flatnonzero((rank == np.repeat(best, span)) & (rank < none))
             if len(places):
                 # Of places in a row (a a a) only every other one can merge, from the left.
                 fresh = np.r_[True, np.diff(places) > 1]
                 run = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
                 places = places[(np.arange(len(places)) - run) % 2 == 0]
-                sym[places] = self.merged[at[places]]
+                sym[places] = into[places]
             keep = np.repeat(~done, span)
             keep[places + 1] = False
-            sym, word = sym[keep], word[keep]
+            changed = np.zeros(len(sym), bool)
+            changed[places] = True
+            changed[places[places > 0] - 1] = True
+            sym, word, rank, into = sym[keep], word[keep], rank[keep], into[keep]
+            stale = np.flatnonzero(changed[keep])
+            inner = np.zeros(len(sym), bool)
+            inner[:-1] = word[:-1] == word[1:]
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -122,20 +131,24 @@ class ByteBPE:
         if part:
             self.cache.update(zip(part, self.merge([x.encode() for x in part]), strict=True))
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of every text; special tokens' strings become their ids, as in the vocabulary's own library."""
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of every text; special tokens' strings become their ids, as in the vocabulary's own library."""
         special = [self.cut is not None and self.cut.search(t) is not None for t in texts]
         pieces = [self._around(t) if own else self.find(t) for t, own in zip(texts, special, strict=True)]
         fresh = set().union(*pieces) - self.added.keys()
         missing = fresh - self.cache.keys()
         if missing:
             self.learn(fresh if len(self.cache) + len(missing) > CACHED_WORDS else missing)
-        known = self.cache
-        out = [list(chain.from_iterable(map(known.__getitem__, p))) if not own else [] for p, own in zip(pieces, special, strict=True)]
+        known = self.cache.__getitem__
+        out = [b"" if own else b"".join(map(known, p)) for p, own in zip(pieces, special, strict=True)]
         for k in [k for k, own in enumerate(special) if own]:
-            out[k] = [i for w in pieces[k] for i in ((self.added[w],) if w in self.added else known[w])]
+            out[k] = b"".join(self.added[w].to_bytes(4, "little") if w in self.added else known(w) for w in pieces[k])
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of every text."""
+        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_packed(texts)]
+
     def _around(self, text: str) -> list[str]:
         out: list[str] = []
         for k, part in enumerate(self.cut.split(text)):
@@ -163,18 +176,19 @@ def _encoded(content: Broadcast[str], with_ids: bool):
             lo, n = 0, len(offs) - 1
             while lo < n:
                 hi = lo + 1
-                while hi < n and offs[hi + 1] - offs[lo] <= 1 << 20:
+                while hi < n and offs[hi + 1] - offs[lo] <= CHUNK_BYTES:
                     hi += 1
                 texts = [str(view[offs[i] : offs[i + 1]], "utf-8") for i in range(lo, hi)]
-                ids = bpe.encode_batch(texts)
-                columns = {
-                    "doc_id": ids_of_batch.slice(lo, hi - lo),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in ids], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                }
+                packed = [np.frombuffer(x, "<i4") for x in bpe.encode_packed(texts)]
+                n_tokens, digests, decoded = [], [], []
+                for x in packed:
+                    ids = x.tolist()
+                    n_tokens.append(len(ids))
+                    digests.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                columns = {"doc_id": ids_of_batch.slice(lo, hi - lo), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
                 if with_ids:
-                    columns["ids"] = pa.array([np.array(x, np.int32) for x in ids], pa.list_(pa.int32()))
+                    columns["ids"] = pa.array(packed, pa.list_(pa.int32()))
                 yield pa.record_batch(columns)
                 lo = hi
 
