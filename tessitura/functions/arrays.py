@@ -139,29 +139,24 @@ def linear_stretch(x: Column, length: int) -> Column:
 
 def interpolate(x: Column, positions: Column, kind: str = "linear") -> Column:
     """Values at fractional positions. Cubic runs through four neighbours; those beyond the ends are the ends' values."""
-    last = F.size(x) - 1
+    reach = {"linear": (0, 1), "quadratic": (-1, 0, 1), "cubic": (-1, 0, 1, 2)}[kind]
 
-    def at(i: Column) -> Column:
-        return F.get(x, F.least(F.greatest(i, F.lit(0)), last))
-
-    def linear(p: Column) -> Column:
-        i = F.floor(p).cast("int")
-        f = p - i
-        return at(i) * (F.lit(1.0) - f) + at(i + 1) * f
-
-    def quadratic(p: Column) -> Column:
-        i = F.floor(p).cast("int")
-        f = p - i
-        a, b, c = at(i - 1), at(i), at(i + 1)
-        return b + f * (c - a) / 2.0 + f * f * (a - 2.0 * b + c) / 2.0
-
-    def cubic(p: Column) -> Column:
+    def around(p: Column) -> Column:
+        """The neighbours of a position, taken once, and how far it lies beyond the one before it."""
         i = F.floor(p).cast("int")
-        f = p - i
-        a, b, c, d = at(i - 1), at(i), at(i + 1), at(i + 2)
+        return let(i, lambda k: F.struct((p - k).alias("f"), *[F.get(x, F.least(F.greatest(k + o, F.lit(0)), F.size(x) - 1)).alias(f"v{o + 1}") for o in reach]))
+
+    def value(n: Column) -> Column:
+        f = n["f"]
+        if kind == "linear":
+            return n["v1"] * (F.lit(1.0) - f) + n["v2"] * f
+        a, b, c = n["v0"], n["v1"], n["v2"]
+        if kind == "quadratic":
+            return b + f * (c - a) / 2.0 + f * f * (a - 2.0 * b + c) / 2.0
+        d = n["v3"]
         return b + 0.5 * f * (c - a + f * (2.0 * a - 5.0 * b + 4.0 * c - d + f * (3.0 * (b - c) + d - a)))
 
-    return F.transform(positions, {"linear": linear, "quadratic": quadratic, "cubic": cubic}[kind])
+    return F.transform(positions, lambda p: let(around(p), value))
 
 
 def scaled_positions(length: int, factor: Column | float) -> Column:
