@@ -111,13 +111,13 @@ def array_running_max(spark, sf):
     return vectors(spark, sf).select("vec_id", F.posexplode(both).alias("i", "b")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("b.hi").alias("hi"), F.col("b.lo").alias("lo"))
 
 
-_ACF = f"""SELECT vec_id, k, round(v / max(v) OVER (PARTITION BY vec_id), 5) AS v FROM (
+_ACF = f"""SELECT vec_id, k, round(v / max(v) OVER (PARTITION BY vec_id), 5) + 0.0 AS v FROM (
   SELECT vec_id, k, list_sum(list_transform(range(1, 65 - k), lambda j: z[j] * z[j + k])) * 64.0 / (64 - k) AS v FROM (SELECT vec_id, list_transform(x, lambda v: (v - {MEAN}) / {STD}) AS z FROM vectors), (SELECT unnest(range(0, 64)) AS k))"""
 
 
 @query("autocorrelation", sql(_ACF))
 def autocorrelation(spark, sf):
-    return vectors(spark, sf).select("vec_id", F.posexplode(fa.autocorrelation(F.col("x"))).alias("k", "v")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("v", 5).alias("v"))
+    return vectors(spark, sf).select("vec_id", F.posexplode(fa.autocorrelation(F.col("x"))).alias("k", "v")).select("vec_id", F.col("k").cast("long").alias("k"), (F.round("v", 5) + 0.0).alias("v"))
 
 
 #: Each vector with the next one of its label, stretched to 16 samples.
