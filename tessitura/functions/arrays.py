@@ -138,25 +138,31 @@ def linear_stretch(x: Column, length: int) -> Column:
 
 
 def interpolate(x: Column, positions: Column, kind: str = "linear") -> Column:
-    """Values at fractional positions. Cubic runs through four neighbours; those beyond the ends are the ends' values."""
-    reach = {"linear": (0, 1), "quadratic": (-1, 0, 1), "cubic": (-1, 0, 1, 2)}[kind]
+    """Values at fractional positions, by polynomials through 2 (linear), 3 (quadratic: the one before and two after) or 4
+    neighbours (cubic: two on either side). No neighbour lies before the start, after the end, or, where it is the second
+    one after, beyond the last position rounded up."""
+    reach = {"linear": (0, 1), "quadratic": (0, 1, 2), "cubic": (-1, 0, 1, 2)}[kind]
 
-    def around(p: Column) -> Column:
+    def around(p: Column, last: Column) -> Column:
         """The neighbours of a position, taken once, and how far it lies beyond the one before it."""
-        i = F.floor(p).cast("int")
-        return let(i, lambda k: F.struct((p - k).alias("f"), *[F.get(x, F.least(F.greatest(k + o, F.lit(0)), F.size(x) - 1)).alias(f"v{o + 1}") for o in reach]))
+
+        def at(k: Column, o: int) -> Column:
+            i = F.least(k + o, F.size(x) - 1)
+            return F.get(x, F.greatest(F.least(i, last) if o == 2 else i, F.lit(0)))
+
+        return let(F.floor(p).cast("int"), lambda k: F.struct((p - k).alias("f"), *[at(k, o).alias(f"v{o + 1}") for o in reach]))
 
     def value(n: Column) -> Column:
         f = n["f"]
         if kind == "linear":
             return n["v1"] * (F.lit(1.0) - f) + n["v2"] * f
-        a, b, c = n["v0"], n["v1"], n["v2"]
         if kind == "quadratic":
-            return b + f * (c - a) / 2.0 + f * f * (a - 2.0 * b + c) / 2.0
-        d = n["v3"]
-        return b + 0.5 * f * (c - a + f * (2.0 * a - 5.0 * b + 4.0 * c - d + f * (3.0 * (b - c) + d - a)))
+            return n["v1"] * (f - 1.0) * (f - 2.0) / 2.0 - n["v2"] * f * (f - 2.0) + n["v3"] * f * (f - 1.0) / 2.0
+        outer = (n["v3"] * (f + 1.0) - n["v0"] * (f - 2.0)) * f * (f - 1.0) / 6.0
+        return outer + (n["v1"] * (f - 1.0) - n["v2"] * f) * (f + 1.0) * (f - 2.0) / 2.0
 
-    return F.transform(positions, lambda p: let(around(p), value))
+    ends = F.struct(positions.alias("p"), F.ceil(F.element_at(positions, -1)).cast("int").alias("last"))
+    return let(ends, lambda e: F.transform(e["p"], lambda p: let(around(p, e["last"]), value)))
 
 
 def scaled_positions(length: int, factor: Column | float) -> Column:

@@ -136,12 +136,3 @@ def keogh(upper: np.ndarray, lower: np.ndarray, y: np.ndarray, kind: str = "sq_e
     above, below = np.maximum(y - upper, 0.0), np.maximum(lower - y, 0.0)
     out = above + below
     return (out * out if kind == "sq_euclidean" else out).sum(axis=1)
-
-
-def cubic(x: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """Rows of x at fractional positions, by cubics through four neighbours; beyond the ends stand the ends' values."""
-    i = np.floor(positions).astype(np.int64)
-    f = positions - i
-    last = x.shape[1] - 1
-    a, b, c, d = (x[:, np.clip(i + k, 0, last)] for k in (-1, 0, 1, 2))
-    return b + 0.5 * f * (c - a + f * (2.0 * a - 5.0 * b + 4.0 * c - d + f * (3.0 * (b - c) + d - a)))

@@ -15,8 +15,8 @@ from .series import by_time
 #: Which pairs of time scales are compared, of three and of five.
 SCALE_PAIRS = {
     1: ((0, 0),),
-    3: ((0, 0), (0, 1), (1, 0), (1, 2), (2, 1)),
-    5: ((0, 0), (0, 2), (0, 4), (1, 3), (2, 0), (2, 4), (3, 1), (4, 0), (4, 2)),
+    3: ((0, 2), (1, 1), (1, 2), (2, 0), (2, 1)),
+    5: ((0, 4), (1, 4), (2, 2), (2, 3), (2, 4), (3, 2), (4, 0), (4, 1), (4, 2)),
 }
 SCALES = {1: (1.0,), 3: (0.9, 1.0, 1.1), 5: (0.9, 0.95, 1.0, 1.05, 1.1)}
 
@@ -41,11 +41,15 @@ def scale_allowed(a: Column, b: Column, scales: int) -> Column:
     return (a * scales + b).isin([x * scales + y for x, y in SCALE_PAIRS[scales]])
 
 
-def sliding_windows(samples: DataFrame, length: int, real: int | None = None, *carry: str) -> DataFrame:
-    """Every window of ``length`` samples: rec_id, sub_id, s_time, e_time (of sample ``real``), data and carried columns."""
+def sliding_windows(samples: DataFrame, length: int, real: int | None = None, *carry: str, with_times: bool = False) -> DataFrame:
+    """Every window of ``length`` samples: rec_id, sub_id, s_time, e_time (of sample ``real``), data and carried columns.
+
+    ``with_times`` adds the samples' times, which scaled copies need to know where they end.
+    """
     frame = by_time().rowsBetween(0, length - 1)
     end = F.last("t").over(by_time().rowsBetween(0, (real or length) - 1))
-    out = samples.select("rec_id", F.col("idx").alias("sub_id"), F.col("t").alias("s_time"), end.alias("e_time"), F.collect_list("value").over(frame).alias("data"), *carry)
+    more = [F.collect_list("t").over(frame).alias("times")] if with_times else []
+    out = samples.select("rec_id", F.col("idx").alias("sub_id"), F.col("t").alias("s_time"), end.alias("e_time"), F.collect_list("value").over(frame).alias("data"), *more, *carry)
     return out.where(F.size("data") == length)
 
 
@@ -54,10 +58,15 @@ def windows_at(samples: DataFrame, starts: DataFrame, length: int) -> DataFrame:
     return sliding_windows(samples, length).join(starts.select("rec_id", F.col("idx").alias("sub_id")).distinct(), ["rec_id", "sub_id"], "left_semi")
 
 
-def uniform_scale(windows: DataFrame, length: int, factors: Sequence[float]) -> DataFrame:
-    """A copy of each window for each factor, all of ``length`` samples, by cubic interpolation; scale_idx names the factor."""
+def uniform_scale(windows: DataFrame, length: int, factors: Sequence[float], lengths: Sequence[int] | None = None) -> DataFrame:
+    """A copy of each window for each factor, all of ``length`` samples, by cubic interpolation; scale_idx names the factor.
+
+    If windows carry times and ``lengths`` (samples of each factor) is given, e_time is that of the copy's last sample.
+    """
     scale = F.posexplode(F.array(*[F.lit(float(f)) for f in factors])).alias("scale_idx", "factor")
     spread = windows.select("*", scale)
+    if lengths is not None:
+        spread = spread.withColumn("e_time", F.get("times", F.get(F.array(*[F.lit(n - 1) for n in lengths]), F.col("scale_idx")))).drop("times")
     data = arrays.interpolate(F.col("data"), arrays.scaled_positions(length, F.col("factor")), "cubic")
     return spread.withColumn("data", data).withColumn("sub_id", F.col("sub_id") * len(factors) + F.col("scale_idx")).drop("factor")
 

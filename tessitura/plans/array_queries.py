@@ -85,8 +85,8 @@ def linear_stretch(spark, sf):
 _AT = {k: f"x[least(greatest(k + {k}, 0), 63) + 1]" for k in (-1, 0, 1, 2)}
 _INTERPOLATED = {
     "linear": f"{_AT[0]} * (1.0 - f) + {_AT[1]} * f",
-    "quadratic": f"{_AT[0]} + f * ({_AT[1]} - {_AT[-1]}) / 2.0 + f * f * ({_AT[-1]} - 2.0 * {_AT[0]} + {_AT[1]}) / 2.0",
-    "cubic": f"{_AT[0]} + 0.5 * f * ({_AT[1]} - {_AT[-1]} + f * (2.0 * {_AT[-1]} - 5.0 * {_AT[0]} + 4.0 * {_AT[1]} - {_AT[2]} + f * (3.0 * ({_AT[0]} - {_AT[1]}) + {_AT[2]} - {_AT[-1]})))",
+    "quadratic": f"{_AT[0]} * (f - 1.0) * (f - 2.0) / 2.0 - {_AT[1]} * f * (f - 2.0) + {_AT[2]} * f * (f - 1.0) / 2.0",
+    "cubic": f"({_AT[2]} * (f + 1.0) - {_AT[-1]} * (f - 2.0)) * f * (f - 1.0) / 6.0 + ({_AT[0]} * (f - 1.0) - {_AT[1]} * f) * (f + 1.0) * (f - 2.0) / 2.0",
 }
 
 

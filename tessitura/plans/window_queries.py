@@ -43,10 +43,11 @@ def window_stats(spark, sf):
 
 
 _AT = {k: f"data[least(greatest(k + {k}, 0), 8) + 1]" for k in (-1, 0, 1, 2)}
-_CUBIC = f"{_AT[0]} + 0.5 * f * ({_AT[1]} - {_AT[-1]} + f * (2.0 * {_AT[-1]} - 5.0 * {_AT[0]} + 4.0 * {_AT[1]} - {_AT[2]} + f * (3.0 * ({_AT[0]} - {_AT[1]}) + {_AT[2]} - {_AT[-1]})))"
+_AT[2] = "data[least(k + 2, m, 8) + 1]"
+_CUBIC = f"({_AT[2]} * (f + 1.0) - {_AT[-1]} * (f - 2.0)) * f * (f - 1.0) / 6.0 + ({_AT[0]} * (f - 1.0) - {_AT[1]} * f) * (f + 1.0) * (f - 2.0) / 2.0"
 
 
-@query("uniform_scale", sql(f"SELECT rec_id, sub_id * 3 + s AS sub_id, s::INT AS scale_idx, i, round({_CUBIC}, 4) AS v FROM (SELECT *, floor(p)::INT AS k, p - floor(p) AS f FROM (SELECT *, i * ([0.9::DOUBLE, 1.0::DOUBLE, 1.1::DOUBLE])[s + 1] AS p FROM w9, (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 3)) AS s)))", f"w9 AS (SELECT * FROM (SELECT rec_id, idx AS sub_id, list(value) OVER {ORDER} ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS data FROM voiced) WHERE len(data) = 9)"))
+@query("uniform_scale", sql(f"SELECT rec_id, sub_id * 3 + s AS sub_id, s::INT AS scale_idx, i, round({_CUBIC}, 4) AS v FROM (SELECT *, floor(p)::INT AS k, p - floor(p) AS f FROM (SELECT *, i * ([0.9::DOUBLE, 1.0::DOUBLE, 1.1::DOUBLE])[s + 1] AS p, ceil(7 * ([0.9::DOUBLE, 1.0::DOUBLE, 1.1::DOUBLE])[s + 1])::INT AS m FROM w9, (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 3)) AS s)))", f"w9 AS (SELECT * FROM (SELECT rec_id, idx AS sub_id, list(value) OVER {ORDER} ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS data FROM voiced) WHERE len(data) = 9)"))
 def uniform_scale(spark, sf):
     scaled = subsequences.uniform_scale(windows(spark, sf, 9), L, subsequences.SCALES[3])
     return scaled.select("rec_id", "sub_id", "scale_idx", F.posexplode("data").alias("i", "v")).select("rec_id", "sub_id", "scale_idx", F.col("i").cast("long").alias("i"), F.round("v", 4).alias("v"))
