@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import _shared, bpe, exact_dedup, language_id, mixing, simhash
+from tessitura.llm import _shared, bpe, exact_dedup, language_id, mixing, near_text
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -24,8 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (3): one document of each component stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Near-dedup (3): one document of each component of texts with a 5-word similarity of at least 0.8 stays."""
+    return near_text.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
