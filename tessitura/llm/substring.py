@@ -7,7 +7,7 @@ looks up its windows in every block that may hold them and parses greedily: a fa
 found in a smaller document. Because each window is looked up for itself, those that lie across a factor's boundary are
 checked too, and factors that overlap are joined. All words under a factor of WINDOW words or more are duplicates.
 
-Lookups travel as packed arrays of consecutive windows (an anchor of 64 bits for each run, 32 more bits for each window),
+Lookups travel as packed arrays of consecutive windows (an anchor of 64 bits for each run, 64 more bits for each window),
 not as rows. A task first settles its own repeats and asks only for windows that no smaller document of its own has, so a
 passage that very many documents share is asked for once a task. The text is shuffled once, to meet the answers.
 """
@@ -34,11 +34,11 @@ _C = np.uint64(0xA0761D6478BD642F)
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start (in words), anchor and 32-bit hash of every window of each text."""
+    """Row, start (in words), anchor and 64-bit hash of every window of each text."""
     starts, ends, rows = split_words(data, offsets)
     n = len(starts) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     words = hasher(data, starts, ends)
     whole = words[:n].copy()
     for k in range(1, size):
@@ -56,14 +56,14 @@ def windows(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher, size: int
         np.minimum(anchor, grams[k : k + n], out=anchor)
     inside = np.flatnonzero(rows[:n] == rows[size - 1 :])
     first = np.searchsorted(rows, np.arange(len(offsets) - 1))
-    return rows[inside], inside - first[rows[inside]], mix64(anchor[inside]), (mix64(whole[inside]) >> np.uint64(32)).astype(np.uint32)
+    return rows[inside], inside - first[rows[inside]], mix64(anchor[inside]), mix64(whole[inside])
 
 
 def _repeated(anchor: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which windows also start in a document with a smaller id."""
     if not len(anchor):
         return np.zeros(0, bool)
-    key = mix64(anchor + low.astype(np.uint64) * _B)
+    key = mix64(anchor + low * _B)
     order = np.argsort(key, kind="stable")
     k, a, w, d = key[order], anchor[order], low[order], doc[order]
     first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (w[1:] != w[:-1])])
@@ -143,7 +143,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     docs, runs, rest = _HEAD.unpack_from(blob)
     at, out = _HEAD.size, []
     small = np.uint16 if rest & 1 else np.uint32
-    for kind, n in ((np.int64, docs), (np.uint32, docs), (np.uint64, runs), (small, runs), (small, runs), (np.uint8, runs), (np.uint32, rest >> 1)):
+    for kind, n in ((np.int64, docs), (np.uint32, docs), (np.uint64, runs), (small, runs), (small, runs), (np.uint8, runs), (np.uint64, rest >> 1)):
         out.append(np.frombuffer(blob, kind, n, at))
         at += out[-1].nbytes
     ids, crcs, anchor, doc, start, length, low = out

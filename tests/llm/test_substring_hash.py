@@ -1,0 +1,24 @@
+import numpy as np
+
+from tessitura.llm import substring
+from tessitura.llm._shared import SpanHasher
+
+
+def table(rng, phrase, n):
+    tails = rng.integers(0, 1000, (n, 8))
+    texts = [(phrase + " " + " ".join(map(str, t))).encode() for t in tails.tolist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+
+
+def test_different_windows_of_one_anchor_stay_apart():
+    rng = np.random.default_rng(5)
+    share = {}
+    for k in range(200):  # a phrase whose hash is the least one of nearly all windows that hold it
+        _, _, anchor, _ = substring.windows(*table(rng, f"a{k} b c d e", 200), SpanHasher())
+        share[k] = np.unique(anchor, return_counts=True)[1].max()
+    best = max(share, key=share.get)
+    row, _, anchor, low = substring.windows(*table(rng, f"a{best} b c d e", 400_000), SpanHasher())
+    values, counts = np.unique(anchor, return_counts=True)
+    assert counts.max() > 250_000
+    mine = anchor == values[counts.argmax()]
+    assert not substring._repeated(anchor[mine], low[mine], row[mine]).any()
