@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker turns into arrays at once.
 CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one machine gets a folder of its own; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = tempfile.mkdtemp(prefix="tessitura-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessitura-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a URI as Spark writes it, for Python workers."""
+    if uri.startswith("file:") or uri.startswith("/"):
+        return pyarrow.fs.LocalFileSystem(), re.sub("^(file:)?/*", "/", uri)
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", uri))
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -54,9 +68,28 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def private(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that no other column of the caller can clash with ours."""
-    return df.select(*[df[n] for n in names])
+def identity(*columns: Column) -> Column:
+    """SHA-256 of the columns' values, null apart from all others: names a row whatever its columns are called."""
+    said = [F.coalesce(F.concat(F.lit("+"), F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    return F.sha2(F.concat(*said).cast("binary"), 256)
+
+
+def chosen(docs: DataFrame, keys: Sequence[Column], plan: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``plan`` asks for, with all their columns.
+
+    ``plan`` has one row a key: as many columns as ``keys`` (compared in turn, null equal to null), then rows (how many rows
+    of docs have the key) and copies (how many are wanted of them together). Of rows that share a key one stands for all;
+    they are aggregated before they are shuffled, so a key with very many rows is no hot one.
+    """
+    n = len(keys)
+    names = [f"key{i}" for i in range(n)]
+    plan = plan.toDF(*[f"plan{i}" for i in range(n)], "rows", "copies").where(F.col("copies") > 0)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[k.alias(name) for k, name in zip(keys, names, strict=True)])
+    same = [F.col(name).eqNullSafe(F.col(f"plan{i}")) for i, name in enumerate(names)]
+    one = whole.join(plan.where(F.col("rows") == 1), same).select("row", "copies")
+    more = whole.join(plan.where(F.col("rows") > 1), same).groupBy(*names).agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    both = one.unionByName(more.select("row", "copies"))
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("row.*")
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,11 +1,15 @@
 """WARC archives: written with an index first, read back by coalesced byte ranges.
 
 A task writes its records one after another, each a gzip member of its own, into archives of bounded size in the shared
-folder, and hands on where each lies. These rows are the index (file, offset, length, URL, digest), written as a table
-before anything is read. An archive has a name of its own for each attempt, so a task that runs again writes another file
-and the index, which Spark commits, names only what counts. Reading goes from the index: selected records are sorted by
-file and offset, neighbouring ranges are joined into reads of bounded length, and each record is unpacked, parsed and its
-payload hashed anew.
+folder, and hands on where each lies. These rows are the index (file, offset, length, unpacked size, URL, digest), written
+as a table before anything is read. An archive has a name of its own for each attempt, so a task that runs again writes
+another file and the index, which Spark commits, names only what counts. Reading goes from the index: selected records are
+sorted by file and offset, neighbouring ranges are joined into reads of bounded length, and the records of a read are
+unpacked one after another, parsed and their payloads hashed anew. What a task holds is bounded by unpacked bytes: one
+read, one record and one batch of results.
+
+Which record is a response is found on digests and identifiers alone. The html then meets the list of revisits by page_id
+and digest, so a payload that very many pages share is spread like any other.
 """
 
 from __future__ import annotations
@@ -18,21 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, materialize, partitions
+from ._shared import file_system, fresh_path, materialize, partitions, utf8
 
 #: Wanted size of an archive in bytes.
 ARCHIVE_BYTES = 128 << 20
 #: Payloads below this are never written as revisits.
 REVISIT_BYTES = 100
 #: One read spans gaps up to GAP and grows to READ_BYTES at most, unless a record alone is longer.
-GAP, READ_BYTES = 64 << 10, 8 << 20
+GAP, READ_BYTES = 64 << 10, 4 << 20
+#: Unpacked bytes of records that are handed on at once.
+BATCH_BYTES = 4 << 20
 #: What ends a header and a record.
 END = "\r\n\r\n"
-INDEX = "page_id long, url string, digest string, file string, offset long, length long"
+INDEX = "page_id long, url string, digest string, file string, offset long, length long, unpacked long"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -48,9 +53,12 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.coalesce(pages["html"], F.lit("")).alias("body"))
     rows = rows.select("*", F.octet_length("body").cast("long").alias("bytes"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
-    first = rows.where(F.col("bytes") >= revisit_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    rows = rows.join(first.select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first"), (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    names = rows.where(F.col("bytes") >= revisit_bytes).groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = names.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") > 1)
+    later = names.join(first, (F.col("digest") == F.col("d")) & ~F.col("page_id").eqNullSafe(F.col("first")))
+    later = later.select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), "first")
+    rows = rows.join(later, rows["page_id"].eqNullSafe(later["later_id"]) & (rows["digest"] == later["later_digest"]), "left")
+    revisit = F.col("later_digest").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
@@ -70,37 +78,34 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     return rows.select("page_id", "url", "digest", record.alias("record"))
 
 
-def _source(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system and path of a URI as Spark writes it."""
-    if uri.startswith("file:") or uri.startswith("/"):
-        return pyarrow.fs.LocalFileSystem(), re.sub("^(file:)?/*", "/", uri)
-    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", uri))
-
-
 def _written(folder: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _source(folder)
+        system, path = file_system(folder)
         name, out, at = "", None, 0
-        for batch in batches:
-            names, offsets, lengths = [], [], []
-            for record in batch.column("record").to_pylist():
-                if out is None or at >= archive_bytes:
-                    if out is not None:
-                        out.close()
-                    else:
-                        system.create_dir(path, recursive=True)
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = system.open_output_stream(f"{path}/{name}", compression=None)
-                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                member = packer.compress(record.encode()) + packer.flush()
-                out.write(member)
-                names.append(name)
-                offsets.append(at)
-                lengths.append(len(member))
-                at += len(member)
-            yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "digest": batch.column("digest"), "file": pa.array(names, pa.string()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
-        if out is not None:
-            out.close()
+        try:
+            for batch in batches:
+                raw, offs = utf8(batch.column("record"))
+                view = memoryview(raw)
+                names, offsets, lengths = [], [], []
+                for i in range(len(batch)):
+                    if out is None or at >= archive_bytes:
+                        if out is not None:
+                            out.close()
+                        else:
+                            system.create_dir(path, recursive=True)
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = system.open_output_stream(f"{path}/{name}", compression=None)
+                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    names.append(name)
+                    offsets.append(at)
+                    for piece in (packer.compress(view[offs[i] : offs[i + 1]]), packer.flush()):
+                        out.write(piece)
+                        at += len(piece)
+                    lengths.append(at - offsets[-1])
+                yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "digest": batch.column("digest"), "file": pa.array(names, pa.string()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64()), "unpacked": pa.array(np.diff(offs))})
+        finally:
+            if out is not None:
+                out.close()
 
     return run
 
@@ -108,7 +113,7 @@ def _written(folder: str, archive_bytes: int):
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Write ``path/data`` (archives) and ``path/index`` (parquet); returns the index as read back.
 
-    Index: page_id, url, digest, file, offset, length.
+    Index: page_id, url, digest, file, offset, length, unpacked (bytes of the record).
     """
     made = records(pages, revisit_bytes)
     index = made.select(F.col("page_id").cast("long").alias("page_id"), "url", "digest", "record").mapInArrow(_written(f"{path}/data", archive_bytes), INDEX)
@@ -139,19 +144,28 @@ def coalesced(offsets: np.ndarray, lengths: np.ndarray, gap: int = GAP, most: in
     return out
 
 
-def _read(folder: str):
+def _read(folder: str, with_payload: bool, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _source(folder)
+        system, path = file_system(folder)
+        rows, held = [], 0
         for batch in batches:
             files = batch.column("file").to_pylist()
-            offsets, lengths = batch.column("offset").to_numpy(), batch.column("length").to_numpy()
+            offsets, lengths, unpacked = (batch.column(c).to_numpy() for c in ("offset", "length", "unpacked"))
             edges = [i for i in range(len(files) + 1) if i in (0, len(files)) or files[i] != files[i - 1]]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 with system.open_input_file(f"{path}/{files[lo]}") as file:
                     for a, b in coalesced(offsets[lo:hi], lengths[lo:hi]):
                         start = int(offsets[lo + a])
-                        raw = file.read_at(int(offsets[lo + b - 1] + lengths[lo + b - 1]) - start, start)
-                        yield _parsed([zlib.decompress(raw[int(offsets[i]) - start :][: int(lengths[i])], 31) for i in range(lo + a, lo + b)])
+                        raw = memoryview(file.read_at(int(offsets[lo + b - 1] + lengths[lo + b - 1]) - start, start))
+                        for i in range(lo + a, lo + b):
+                            at = int(offsets[i]) - start
+                            rows.append(_parsed(zlib.decompress(raw[at : at + int(lengths[i])], 31, int(unpacked[i])), with_payload))
+                            held += int(unpacked[i]) if with_payload else 1 << 10
+                            if held >= batch_bytes:
+                                yield _batch(rows, with_payload)
+                                rows, held = [], 0
+        if rows:
+            yield _batch(rows, with_payload)
 
     return run
 
@@ -161,31 +175,37 @@ def _page(name: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def _parsed(raws: list[bytes]) -> pa.RecordBatch:
-    rows = []
-    for raw in raws:
-        fields, payload = parse_record(raw)
-        digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-        response = fields["WARC-Type"] == "response"
-        if response and hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError(f"payload and digest of {fields['WARC-Record-ID']} differ")
-        rows.append((_page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), len(payload) if response else None, digest, fields["WARC-Type"], _page(fields.get("WARC-Refers-To")), payload.decode() if response else None))
+def _parsed(raw: bytes, with_payload: bool) -> tuple:
+    fields, payload = parse_record(raw)
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    response = fields["WARC-Type"] == "response"
+    if response and hashlib.sha256(payload).hexdigest() != digest:
+        raise ValueError(f"payload and digest of {fields['WARC-Record-ID']} differ")
+    row = (_page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), len(payload) if response else None, digest, fields["WARC-Type"], _page(fields.get("WARC-Refers-To")))
+    return (*row, payload if response else None) if with_payload else row
+
+
+def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
     names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    columns = {n: pa.array(c, k) for n, c, k in zip(names, zip(*rows, strict=True), kinds, strict=False)}
+    if with_payload:
+        columns["payload"] = columns["payload"].cast(pa.string())
+    return pa.record_batch(columns)
 
 
-def read_records(path: str, selected: DataFrame) -> DataFrame:
+def read_records(path: str, selected: DataFrame, *, with_payload: bool = True, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The records that ``selected`` rows of an index point to, parsed.
 
-    Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload. A revisit's payload_bytes is
-    that of the response it refers to; its payload is null.
+    Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if ``with_payload``, payload. A
+    revisit's payload_bytes and payload are null; they are those of the response it refers to. Without payloads they are
+    unpacked and checked against their digests all the same, but don't leave the worker.
     """
     # A file's size is bounded, so all that is wanted of it fits one task; a task reads its files in turn.
-    located = selected.select("file", "offset", "length")
+    located = selected.select("file", "offset", "length", "unpacked")
     dealt = located.repartition(partitions(selected.sparkSession), "file").sortWithinPartitions("file", "offset")
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-    return dealt.mapInArrow(_read(f"{path}/data"), schema)
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload string" * with_payload
+    return dealt.mapInArrow(_read(f"{path}/data", with_payload, batch_bytes), schema)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, *, archive_bytes: int = ARCHIVE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -199,7 +219,7 @@ def round_trip(pages: DataFrame, path: str | None = None, *, archive_bytes: int
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     index = write_archives(pages, path, archive_bytes, revisit_bytes)
-    read = materialize(read_records(path, index).drop("payload", "url"), "warc-read")
+    read = materialize(read_records(path, index, with_payload=False).drop("url"), "warc-read")
     sizes = read.where(F.col("record_type") == "response").groupBy(F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("full"))
     joined = read.join(sizes, F.col("payload_digest") == F.col("digest"))
     return joined.select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
