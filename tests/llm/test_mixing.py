@@ -62,3 +62,25 @@ def test_rows_of_the_mix_keep_their_columns(spark):
     assert out.columns == docs.columns
     per = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
     assert per == {"a": 40, "b": 20}  # 150 % of 400 words at 3:1, at most twice what there is
+
+
+def test_rows_of_the_mix_with_repeated_rows(spark):
+    """9 equal rows, rows that share doc_id and source but not the text, and null ids: as many words come out as planned."""
+    docs = [(1, "one two three four five six seven eight nine", "a", "x")] * 9 + [(2, "u v w", "b", "x"), (2, "u v w x y z", "b", "x"), (None, "p q", None, "x"), (None, None, None, "x"), (None, None, None, "x")]
+    frame = rows_of(spark, docs)
+    plan, out = mixing.mix(frame).collect(), mixing.mixed_rows(frame).collect()
+    assert sum(len((r.text or "").split()) for r in out) == sum(r.taken for r in plan)
+    assert len(out) == sum(r.copies for r in plan)
+    assert {tuple(r) for r in out} <= set(docs)
+    assert mixing.mixed_rows(rows_of(spark, [])).collect() == []
+
+
+def test_newton_rounds_meet_the_targets(spark):
+    words = spark.createDataFrame([("a", c, 10.0 * c) for c in range(1, 9)] + [("b", 1, 5e9), (None, 1, 3.0), ("d", 1, 7.0)], "source string, cell int, words double")
+    want = {"a": 500.0, "b": 4.0, None: 0.5, "d": -3.0, "e": 9.0}
+    targets = spark.createDataFrame(list(want.items()), "source string, target double")
+    found = {r.source: r for r in mixing.rates(mixing.newton(words, targets), 2.0).collect()}
+    mass = {"a": 360.0, "b": 5e9, None: 3.0}
+    for s, m in mass.items():
+        assert found[s].rate == pytest.approx(want[s] / m, rel=1e-12)
+    assert found["d"].rate == found["e"].rate == 0.0

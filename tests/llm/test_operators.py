@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -118,15 +119,47 @@ def test_exact_dedup(docs, nothing, corpus):
     assert exact_dedup.exact_duplicates(nothing).collect() == []
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 3000, 200])
-def test_patricia_trie(limit):
+@pytest.mark.parametrize("limit", [1 << 30, 30_000, 2000])
+def test_patricia_trie(limit, tmp_path):
     rng = random.Random(limit)
     keys = [bytes(rng.choices(b"ab\x00", k=rng.randint(0, 40))) * rng.choice((1, 1, 9)) for _ in range(900)]
-    trie, owner, count = exact_dedup.PatriciaTrie(limit), {}, {}
+    trie, owner, own, count = exact_dedup.PatriciaTrie(limit, str(tmp_path)), {}, {}, {}
+    for i, key in enumerate(keys):
+        trie.insert(key, i // 2)
+        own[key] = own.get(key, 0) + 1 if owner.get(key) == i // 2 else 1
+        owner[key], count[key] = i // 2, count.get(key, 0) + 1
+    assert sorted(trie.entries()) == sorted((k, owner[k], own[k], count[k]) for k in owner)
+    assert list(trie.entries()) == [] and os.listdir(tmp_path) == []
+
+
+@pytest.mark.parametrize("shape", ["shared", "chain", "one"])
+def test_patricia_trie_of_long_shared_prefixes(shape, tmp_path):
+    prefix = b"licence " * 700
+    if shape == "shared":
+        keys = [prefix + str(i * 7919).encode() * (1 + i % 5) for i in range(600)]
+    else:
+        keys = [prefix[: 1 + 9 * i] for i in range(600)] if shape == "chain" else [prefix * 20] * 3
+    trie = exact_dedup.PatriciaTrie(20_000, str(tmp_path))
     for i, key in enumerate(keys):
         trie.insert(key, i)
-        owner[key], count[key] = i, count.get(key, 0) + 1
-    assert sorted(trie.entries()) == sorted((k, owner[k], count[k]) for k in owner)
+        trie.insert(key, None)
+    assert {k: (owner, own, n) for k, owner, own, n in trie.entries()} == {k: (i, 1, 2 * keys.count(k)) for i, k in enumerate(keys)}
+
+
+def test_exact_dedup_with_spilling_tries(spark, docs, corpus):
+    small = {r.keep_id: r.group_size for r in exact_dedup.owners(docs, limit=1000).collect()}
+    assert small == {r.keep_id: r.group_size for r in exact_dedup.owners(docs).collect()}
+
+
+def test_exact_dedup_of_repeated_and_null_ids(spark):
+    rows = [(5, "same text", "a"), (5, "same text", "a"), (5, "same text", "b"), (3, "same text", "a"), (None, "same text", "a"), (None, None, "a"), (None, "", "a"), (5, "other", "a"), (5, "other", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    found = sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in exact_dedup.exact_duplicates(docs).collect())
+    want = [(5, 5, 5, True)] * 3 + [(3, 5, 5, False), (None, 5, 5, False)] + [(5, 5, 2, True)] * 2 + [(None, None, 2, True)] * 2
+    assert found == sorted(map(str, want))
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or -1), r.text or "") for r in kept.collect()) == [(-1, ""), (5, "other"), (5, "same text")]
 
 
 def simhash_by_hand(text):
@@ -262,6 +295,28 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_of_null_and_repeated_ids(spark):
+    long, other = "x" * 200, "y" * 200
+    rows = [(None, long), (7, long), (4, long), (4, long), (None, other), (None, other), (9, None), (9, "z" * 150)]
+    found = warc.round_trip(spark.createDataFrame([(i, None, h, 1) for i, h in rows], "page_id long, url string, html string, digest int")).collect()
+    got = sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in found)
+    want = [(None, 200, "revisit", 4), (7, 200, "revisit", 4), (4, 200, "response", None), (4, 200, "response", None), (None, 200, "response", None), (None, 200, "response", None), (9, 0, "response", None), (9, 150, "response", None)]
+    assert got == sorted(map(str, want))
+
+
+def test_warc_batches_are_bounded_by_unpacked_bytes(spark, tmp_path):
+    from tessitura.llm._shared import file_system
+
+    pages = spark.createDataFrame([(i, None, "a" * 300_000) for i in range(40)] + [(100, None, "b" * 5_000_000)], "page_id long, url string, html string").coalesce(1)
+    index = warc.write_archives(pages, str(tmp_path), revisit_bytes=10**9)
+    rows = index.orderBy("file", "offset").toArrow().to_batches()
+    batches = list(warc._read(f"{tmp_path}/data", True, 1 << 20)(iter(rows)))
+    sizes = [sum(b.column("payload_bytes").to_pylist()) for b in batches]
+    assert sum(sizes) == 40 * 300_000 + 5_000_000 and max(sizes) < 5_000_000 + (2 << 20)
+    assert sorted(x for b in batches for x in b.column("page_id").to_pylist()) == [*range(40), 100]
+    assert file_system("file:///a/b")[1] == file_system("/a/b")[1] == "/a/b"
+
+
 def test_warc_reads_selected_records(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"body {i} " * 20) for i in range(50)], "page_id long, url string, html string")
     index = warc.write_archives(pages, str(tmp_path))
