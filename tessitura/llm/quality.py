@@ -1,97 +1,220 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of characters, five at a time, one for each language, trained on every document that the label table trusts.
-Counts of all trusted text are summed by shuffle; continuation counts, discounts and context totals follow from them, and
-each order's probabilities come from joins, sharded by context, of its counts with its contexts' totals and with the next
-lower order. To score, the table is dealt into shards by the character before the predicted one, which all orders' entries
-share; a shard's size is bounded, it is broadcast, and every document is joined with it where it lies, so no n-gram
-occurrence is ever shuffled. A document stays if its perplexity is within a quantile, set for each language, of the
-trusted documents' perplexities times a margin.
+The model is of characters, five at a time, one for each language, trained on the documents that the label table trusts.
+Documents are read once and kept in compressed files of the shared folder (the spool), one or more for each task, together
+with two narrow tables: which row of which file is which document, and which n-grams occur in which file. Everything else
+is joins of these:
+
+* counting: the rows that the labels trust are looked up by doc_id, their texts are read from the spool and their n-grams
+  are summed by shuffle; continuation counts, discounts and context totals follow, and each order's probabilities come from
+  joins of its counts with its contexts' totals and with the next lower order;
+* scoring: the distinct n-grams of all files are joined with the longest order that has them, what is not found goes on to
+  the next shorter one with its context's weight, and the answers go back to their files, whose documents are then added up.
+
+N-grams are strings, so no alphabet is too large. What is shuffled are distinct n-grams of a file, never occurrences, and no
+part of the model is broadcast or sent to the driver. A document stays if its perplexity is within a quantile, set for each
+language, of the perplexities of trusted documents that the model was not trained on, times a margin.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import CHUNK_BYTES, chunks, materialize, mix64, utf8
+from ._shared import chunks, discard, file_system, fresh_path, materialize, partitions, remove, utf8
 
-ORDER, BITS = 5, 12
-#: Entries of a shard that is broadcast, about 24 bytes each.
-SHARD_ROWS = 2_000_000
+ORDER = 5
 QUANTILE, MARGIN = 0.99, 1.1
-#: Distinct n-grams that a counting task holds before it sends them.
-HELD = 4_000_000
+#: Trusted documents whose doc_id's CRC-32 has this remainder are kept out of training; thresholds are taken from them.
+FOLDS, CALIBRATION = 10, 9
+#: Distinct n-grams of one spool file; text bytes that are turned into n-grams at once.
+FILE_GRAMS, CHUNK = 1_000_000, 2 << 20
 
+_SPOOL = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
+_TABLE = "part long, file string, row long, doc_id long, lang string, gram string"
 
-def _mask(order: int) -> int:
-    return (1 << BITS * order) - 1
 
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Text and n-gram number of every character, and the n-grams: each character with the ORDER - 1 before it.
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the last ORDER characters at every character, the latest in the low bits, and each text's first place.
-
-    White space is one character; characters beyond 12 bits share codes; 0 stands before a text's start.
+    White space (and U+0000) is one character; U+0000 stands before a text's start.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    code = np.where(points < 4094, points + 1, 2048 + points % 2047)
-    code[(points == 0x20) | ((points >= 0x09) & (points <= 0x0D)) | (points == 0xA0)] = 0x21
-    start = np.cumsum(sizes) - sizes
-    inner = np.arange(len(code)) - np.repeat(start, sizes)
-    out = code.copy()
-    for k in range(1, ORDER):
-        out[k:] |= np.where(inner[k:] >= k, code[:-k], 0) << BITS * k
-    return out, start
-
-
-def _texts(raw: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> list[str]:
-    return [bytes(raw[offs[i] : offs[i + 1]]).decode() for i in rows.tolist()]
+    points[(points == 0) | ((points >= 0x09) & (points <= 0x0D)) | (points == 0xA0)] = 0x20
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    if not len(points):
+        return owner, owner, []
+    inner = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    there = np.zeros(0x110000, bool)
+    there[points] = True
+    dense = np.cumsum(there)[points]  # from 1 on; 0 stands before a start
+    bits = int(there.sum()).bit_length()
+    if bits * ORDER < 64:
+        code = dense.copy()
+        for k in range(1, ORDER):
+            code[k:] |= np.where(inner[k:] >= k, dense[:-k], 0) << bits * k
+        number, _ = pd.factorize(code)
+    else:  # too many characters for one word: shorter n-grams are numbered first
+        number = dense
+        for _ in range(1, ORDER):
+            before = np.where(inner > 0, np.r_[0, number[:-1]], 0)
+            number = pd.factorize(before << 21 | dense)[0] + 1
+        number = number - 1
+    at = np.empty(int(number.max()) + 1, np.int64)
+    at[number[::-1]] = np.arange(len(number))[::-1]
+    table = np.zeros((len(at), ORDER), np.uint32)
+    for k in range(ORDER):
+        table[:, ORDER - 1 - k] = np.where(inner[at] >= k, points[np.maximum(at - k, 0)], 0)
+    return owner, number, table.view(f"<U{ORDER}").ravel().tolist()
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[str]]]:
-    """Language, rows and texts of chunks that hold one language."""
+    """Language, rows and texts of a chunk."""
     raw, offs = utf8(batch.column("text"))
     langs = np.array(batch.column("lang").to_pylist(), object)
-    for lo, hi in chunks(offs, CHUNK_BYTES):
-        mine = langs[lo:hi]
-        for lang in sorted(set(mine.tolist())):
-            rows = lo + np.flatnonzero(mine == lang)
-            yield lang, rows, _texts(raw, offs, rows)
+    for lang in sorted(set(langs.tolist())):
+        rows = np.flatnonzero(langs == lang)
+        yield lang, rows, [bytes(raw[offs[i] : offs[i + 1]]).decode() for i in rows.tolist()]
+
+
+class _File:
+    """A spool file that a task writes: chunks of documents, compressed, and the distinct n-grams so far."""
+
+    def __init__(self, folder: str, part: int) -> None:
+        system, path = file_system(folder)
+        system.create_dir(path, recursive=True)
+        self.part, self.name, self.rows = part, uuid.uuid4().hex, 0
+        self.seen: dict[str, set[str]] = {}
+        self.out = system.open_output_stream(f"{path}/{self.name}", compression=None)
+        self.writer = pa.ipc.new_stream(self.out, _SPOOL, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
+
+    def add(self, chunk: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = len(chunk)
+        yield self._rows(n, row=pa.array(np.arange(self.rows, self.rows + n)), doc_id=chunk.column("doc_id"))
+        self.rows += n
+        self.writer.write_batch(chunk)
+        for lang, _, texts in _by_language(chunk):
+            seen = self.seen.setdefault(lang, set())
+            fresh = [g for g in grams(texts)[2] if g not in seen]
+            seen.update(fresh)
+            for lo in range(0, len(fresh), 1 << 17):
+                some = fresh[lo : lo + (1 << 17)]
+                yield self._rows(len(some), lang=pa.array([lang] * len(some)), gram=pa.array(some))
+
+    def _rows(self, n: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"part": pa.int64(), "file": pa.string(), "row": pa.int64(), "doc_id": pa.int64(), "lang": pa.string(), "gram": pa.string()}
+        columns = {"part": pa.array([self.part] * n, pa.int64()), "file": pa.array([self.name] * n)} | columns
+        return pa.record_batch({c: columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()})
+
+    def full(self) -> bool:
+        return sum(map(len, self.seen.values())) > FILE_GRAMS
+
+    def close(self) -> None:
+        self.writer.close()
+        self.out.close()
+
+
+def _spooled(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, part = None, TaskContext.get().partitionId()
+        for batch in batches:
+            _, offs = utf8(batch.column("text"))
+            for lo, hi in chunks(offs, CHUNK):
+                if file is None:
+                    file = _File(folder, part)
+                    part += 1 << 20
+                yield from file.add(pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in _SPOOL.names], schema=_SPOOL))
+                if file.full():
+                    file.close()
+                    file = None
+        if file is not None:
+            file.close()
+
+    return run
+
 
+def _read(folder: str, name: str) -> Iterator[pa.RecordBatch]:
+    system, path = file_system(folder)
+    with system.open_input_stream(f"{path}/{name}", compression=None) as file, pa.ipc.open_stream(file) as reader:
+        yield from reader
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+@dataclass(frozen=True)
+class Spool:
+    """Documents in compressed files of ``folder``; ``table`` has their rows (row, doc_id) and n-grams (lang, gram)."""
 
-    def put() -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
-            keys, n = merged(parts)
-            for lo in range(0, len(keys), 1 << 17):
-                k = keys[lo : lo + (1 << 17)]
-                yield pa.record_batch({"lang": pa.array([lang] * len(k)), "gram": pa.array(k), "n": pa.array(n[lo : lo + (1 << 17)])})
-        held.clear()
+    folder: str
+    table: DataFrame
+    parts: int
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows that have a part, all of one part in one task, sorted by it. Parts are spread evenly."""
+        return rows.repartitionById(self.parts, F.pmod("part", F.lit(self.parts)).cast("int")).sortWithinPartitions("part")
+
+    def remove(self) -> None:
+        discard(self.table)
+        remove(self.table.sparkSession, self.folder)
+
+
+def spool(docs: DataFrame) -> Spool:
+    """Write all documents (doc_id, lang, text) to spool files. A null lang is the empty string, a null text is empty."""
+    spark = docs.sparkSession
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    # Fewer files share more n-grams; each is read by one task.
+    parts = max(2 * spark.sparkContext.defaultParallelism, partitions(spark) // 4)
+    folder = fresh_path(spark, "spool")
+    return Spool(folder, materialize(rows.coalesce(parts).mapInArrow(_spooled(folder), _TABLE), "spool-table", compression="zstd"), parts)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of each part; they come sorted by it."""
+    part, kept = None, []
     for batch in batches:
-        for lang, _, texts in _by_language(batch):
-            code, _ = grams(texts)
-            parts = held.setdefault(lang, [])
-            parts.append(np.unique(code, return_counts=True))
-            if len(parts) > 8:
-                parts[:] = [merged(parts)]
-        if sum(len(p[0]) for parts in held.values() for p in parts) > HELD:
-            yield from put()
-    yield from put()
+        parts = batch.column("part").to_numpy()
+        edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True]) if len(batch) else [0]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if parts[lo] != part and kept:
+                yield part, pa.Table.from_batches(kept)
+                kept = []
+            part = int(parts[lo])
+            kept.append(batch.slice(lo, hi - lo))
+    if kept:
+        yield part, pa.Table.from_batches(kept)
+
+
+def _counted(folder: str):
+    """N-gram counts of the rows of spool files that are named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, wanted in _grouped(batches):
+            held: dict[str, dict[str, int]] = {}
+            rows, at = np.sort(wanted.column("row").to_numpy()), 0
+            for chunk in _read(folder, wanted.column("file")[0].as_py()):
+                lo, hi = np.searchsorted(rows, (at, at + len(chunk)))
+                mine = chunk.take(pa.array(rows[lo:hi] - at))
+                at += len(chunk)
+                for lang, _, texts in _by_language(mine):
+                    _, number, names = grams(texts)
+                    counts = held.setdefault(lang, {})
+                    for gram, n in zip(names, np.bincount(number, minlength=len(names)).tolist(), strict=True):
+                        counts[gram] = counts.get(gram, 0) + n
+            for lang, counts in held.items():
+                names, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                for lo in range(0, len(names), 1 << 17):
+                    some = names[lo : lo + (1 << 17)]
+                    yield pa.record_batch({"lang": pa.array([lang] * len(some)), "gram": pa.array(some), "n": pa.array(n[lo : lo + (1 << 17)])})
+
+    return run
 
 
 def _discounts(orders: dict[int, DataFrame]) -> dict[tuple[str, int], tuple[float, float, float]]:
@@ -106,198 +229,138 @@ def _discounts(orders: dict[int, DataFrame]) -> dict[tuple[str, int], tuple[floa
     return out
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """The model of trusted text (lang, text): rows of kind 'p' (n-gram) and 'g' (context) with lang, level, gram, value.
+def _last(k: int) -> Column:
+    """The last k characters of an n-gram of ORDER."""
+    return F.col("gram") if k == ORDER else F.substring("gram", ORDER - k + 1, k)
 
-    value is the log probability of the n-gram's last character, or the log weight that a context leaves to the lower order.
-    """
+
+@dataclass(frozen=True)
+class Model:
+    """By order: p has lang, gram and p (of the last character, given the others); weights has lang, ctx and gamma (what a context leaves to the lower order). unknown has lang and the probability of a character never seen."""
+
+    p: dict[int, DataFrame]
+    weights: dict[int, DataFrame]
+    unknown: DataFrame
+
+
+def train(texts: Spool, trusted: DataFrame) -> Model | None:
+    """The model of the documents whose doc_id is among ``trusted`` (trusted_id); None if there is no text."""
     spark = trusted.sparkSession
-    rows = trusted.select(F.coalesce(trusted["lang"], F.lit("")).alias("lang"), trusted["text"].alias("text"))
-    counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = texts.table.where(F.col("row").isNotNull()).select("part", "file", "row", "doc_id")
+    chosen = rows.join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi").select("part", "file", "row")
+    counts = texts.dealt(chosen).mapInArrow(_counted(texts.folder), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     orders = {ORDER: materialize(counts, "ngrams")}
     for k in range(ORDER - 1, 0, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit(_mask(k)))
+        shorter = F.substring("gram", 2, k)
         orders[k] = materialize(orders[k + 1].groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "ngrams")
     discounts = _discounts(orders)
     if not discounts:
-        return spark.createDataFrame([], "kind string, lang string, level int, gram long, value double")
+        return None
     table = spark.createDataFrame([(lang, k, *d) for (lang, k), d in discounts.items()], "dl string, dk int, d1 double, d2 double, d3 double")
-    sizes = orders[1].groupBy(F.col("lang").alias("ul")).agg((1.0 / (F.count(F.lit(1)) + 1)).alias("lower"))
-    lower, parts = None, []
+    unknown = materialize(orders[1].groupBy("lang").agg((1.0 / (F.count(F.lit(1)) + 1)).alias("base")), "unknown")
+    p, weights, lower = {}, {}, unknown.select(F.col("lang").alias("ll"), F.lit("").alias("lg"), F.col("base").alias("lower"))
     for k in range(1, ORDER + 1):
         own = table.where(F.col("dk") == k).drop("dk")
-        t = orders[k].join(F.broadcast(own), F.col("lang") == F.col("dl")).withColumn("ctx", F.shiftright("gram", BITS))
+        t = orders[k].join(F.broadcast(own), F.col("lang") == F.col("dl")).withColumn("ctx", F.substring("gram", 1, k - 1))
         held = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         totals = t.groupBy(F.col("lang").alias("cl"), F.col("ctx").alias("cc")).agg(F.sum("n").alias("total"), F.sum(held).alias("freed"))
         totals = materialize(totals.withColumn("gamma", F.col("freed") / F.col("total")), "contexts")
         joined = t.join(totals, (F.col("lang") == F.col("cl")) & (F.col("ctx") == F.col("cc")))
-        if k == 1:
-            joined = joined.join(F.broadcast(sizes), F.col("lang") == F.col("ul"))
-        else:
-            joined = joined.join(lower, (F.col("lang") == F.col("ll")) & (F.col("gram").bitwiseAND(F.lit(_mask(k - 1))) == F.col("lg")))
-        p = (F.col("n") - held) / F.col("total") + F.col("gamma") * F.col("lower")
-        found = materialize(joined.select("lang", "gram", p.alias("p")), "probabilities")
-        lower = found.select(F.col("lang").alias("ll"), F.col("gram").alias("lg"), F.col("p").alias("lower"))
-        parts.append(found.select(F.lit("p").alias("kind"), "lang", F.lit(k).alias("level"), "gram", F.log("p").alias("value")))
-        parts.append(totals.select(F.lit("g").alias("kind"), F.col("cl").alias("lang"), F.lit(k).alias("level"), F.col("cc").alias("gram"), F.log("gamma").alias("value")))
-    model = parts[0]
-    for part in parts[1:]:
-        model = model.unionByName(part)
-    return model
-
-
-class _Hash:
-    """64-bit keys to values, open addressing in flat arrays."""
-
-    EMPTY = np.int64(-1)
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, math.ceil(math.log2(2 * len(keys) + 1)))
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, np.float32)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            at = slot[left]
-            free = self.keys[at] == self.EMPTY
-            self.keys[at[free]] = keys[left[free]]
-            mine = self.keys[at] == keys[left]
-            self.values[at[mine]] = values[left[mine]]
-            left = left[~mine]
-            slot[left] = (slot[left] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix64(keys.view(np.uint64)) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and which keys there are."""
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        found = there == keys
-        out = self.values[slot]
-        left = np.flatnonzero(~found & (there != self.EMPTY))
-        while len(left):
-            slot[left] = (slot[left] + 1) & self.mask
-            there = self.keys[slot[left]]
-            hit = there == keys[left]
-            out[left[hit]] = self.values[slot[left[hit]]]
-            found[left[hit]] = True
-            left = left[~hit & (there != self.EMPTY)]
-        return out, found
-
-
-class Shard:
-    """The part of the model for the characters ``own`` before the predicted one, or for all but ``others``."""
-
-    def __init__(self, table: pa.Table, own: dict[str, set[int]] | None = None, others: dict[str, set[int]] | None = None) -> None:
-        self.own, self.others = own, others or {}
-        self.tables: dict[tuple[str, str, int], _Hash] = {}
-        self.unknown: dict[str, float] = {}
-        for lang in pa.compute.unique(table.column("lang")).to_pylist():
-            of = table.filter(pa.compute.equal(table.column("lang"), lang))
-            grams_of, levels, keys, values = pa.compute.equal(of.column("kind"), "p").to_numpy(), *(of.column(c).to_numpy() for c in ("level", "gram", "value"))
-            for kind, own_kind in (("p", grams_of), ("g", ~grams_of)):
-                for level in range(1, ORDER + 1):
-                    mine = np.flatnonzero(own_kind & (levels == level))
-                    self.tables[lang, kind, level] = _Hash(keys[mine].copy(), values[mine])
-            lower = -math.log(int((grams_of & (levels == 1)).sum()) + 1)
-            weight, there = self.tables[lang, "g", 1].get(np.zeros(1, np.int64))
-            self.unknown[lang] = lower + (float(weight[0]) if there[0] else 0.0)
-
-    def log_probabilities(self, lang: str, code: np.ndarray) -> np.ndarray:
-        """Of every code's last character, given the ones before."""
-        out = np.zeros(len(code))
-        left = np.arange(len(code))
-        for level in range(ORDER, 0, -1):
-            mine = code[left]
-            value, found = self.tables[lang, "p", level].get(mine & _mask(level))
-            out[left[found]] += value[found]
-            left, mine = left[~found], mine[~found]
-            if not len(left):
-                return out
-            if level > 1:
-                weight, there = self.tables[lang, "g", level].get((mine >> BITS) & _mask(level - 1))
-                out[left[there]] += weight[there]
-        out[left] += self.unknown[lang]
-        return out
-
-
-def _scored(shard: Broadcast[Shard]):
+        joined = joined.join(lower, (F.col("lang") == F.col("ll")) & (F.substring("gram", 2, k - 1) == F.col("lg")))
+        found = (F.col("n") - held) / F.col("total") + F.col("gamma") * F.col("lower")
+        p[k] = materialize(joined.select("lang", "gram", found.alias("p")), "probabilities")
+        weights[k] = totals.select(F.col("cl").alias("lang"), F.col("cc").alias("ctx"), "gamma")
+        lower = p[k].select(F.col("lang").alias("ll"), F.col("gram").alias("lg"), F.col("p").alias("lower"))
+    for table in orders.values():
+        discard(table)
+    return Model(p, weights, unknown)
+
+
+def _answers(texts: Spool, model: Model) -> DataFrame:
+    """part, lang, gram and log probability of every n-gram of every spool file whose language has a model."""
+    left = texts.table.where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.collect_list("part").alias("parts"))
+    left = left.withColumn("weight", F.lit(0.0))
+    found = []
+    for k in range(ORDER, 0, -1):
+        own = model.p[k].select(F.col("lang").alias("pl"), F.col("gram").alias("pg"), "p")
+        tried = materialize(left.join(own, (F.col("lang") == F.col("pl")) & (_last(k) == F.col("pg")), "left").select("lang", "gram", "parts", "weight", "p"), "asked", compression="zstd")
+        found.append(tried.where(F.col("p").isNotNull()).select("parts", "lang", "gram", (F.col("weight") + F.log("p")).alias("value")))
+        context = model.weights[k].select(F.col("lang").alias("wl"), F.col("ctx").alias("wc"), "gamma")
+        same = (F.col("lang") == F.col("wl")) & (F.substring("gram", ORDER - k + 1, k - 1) == F.col("wc"))
+        left = tried.where(F.col("p").isNull()).join(context, same, "left").select("lang", "gram", "parts", (F.col("weight") + F.coalesce(F.log("gamma"), F.lit(0.0))).alias("weight"))
+    never = left.join(model.unknown.select(F.col("lang").alias("ul"), "base"), F.col("lang") == F.col("ul"))
+    every = never.select("parts", "lang", "gram", (F.col("weight") + F.log("base")).alias("value"))
+    for part in found:
+        every = every.unionByName(part)
+    return every.select(F.explode("parts").alias("part"), "lang", "gram", F.col("value").cast("float").alias("value"))
+
+
+def _added(folder: str):
+    """Documents of each spool file with the log probabilities of their characters added up."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shard.value
-        for batch in batches:
-            n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            for lang, rows, texts in _by_language(batch):
-                code, start = grams(texts)
-                if lang not in model.unknown or not len(code):
-                    continue
-                sizes = np.diff(np.r_[start, len(code)])
-                owner = np.repeat(rows, sizes)
-                before = (code >> BITS) & _mask(1)
-                if model.own is not None:
-                    ours = np.isin(before, list(model.own.get(lang, ())))
-                    code, owner = code[ours], owner[ours]
-                elif model.others.get(lang):
-                    ours = ~np.isin(before, list(model.others[lang]))
-                    code, owner = code[ours], owner[ours]
-                np.add.at(total, owner, model.log_probabilities(lang, code))
-                n += np.bincount(owner, minlength=len(batch))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "crc": batch.column("crc"), "size": batch.column("size"), "n": pa.array(n), "total": pa.array(total)})
+        for _, rows in _grouped(batches):
+            name = next(x for x in rows.column("file").unique().to_pylist() if x is not None)
+            known: dict[str, tuple[pd.Index, np.ndarray]] = {}
+            rows = rows.filter(pa.compute.is_valid(rows.column("gram")))
+            for lang in rows.column("lang").unique().to_pylist():
+                mine = rows.filter(pa.compute.equal(rows.column("lang"), lang))
+                known[lang] = (pd.Index(mine.column("gram").to_pylist(), dtype=object), mine.column("value").to_numpy())
+            del rows
+            for chunk in _read(folder, name):
+                n, total = np.zeros(len(chunk), np.int64), np.zeros(len(chunk))
+                sizes = np.zeros(len(chunk), np.int64)
+                for lang, mine, texts in _by_language(chunk):
+                    sizes[mine] = [len(t) for t in texts]
+                    if lang not in known:
+                        continue
+                    owner, number, names = grams(texts)
+                    if not names:
+                        continue
+                    index, values = known[lang]
+                    place = index.get_indexer(names)
+                    if (place < 0).any():
+                        raise ValueError("a spool file has n-grams that were never asked for")
+                    total[mine] = np.bincount(owner, values[place].astype(np.float64)[number], minlength=len(texts))
+                    n[mine] = np.bincount(owner, minlength=len(texts))
+                yield pa.record_batch({"doc_id": chunk.column("doc_id"), "lang": chunk.column("lang"), "size": pa.array(sizes), "n": pa.array(n), "total": pa.array(total)})
 
     return run
 
 
-def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def score(texts: Spool, model: Model | None) -> DataFrame:
     """doc_id, lang, size (in characters) and perplexity of every document's whole text; null where its language has no model or it is empty."""
-    spark = docs.sparkSession
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.crc32(text).alias("crc"), F.length(text).cast("long").alias("size"))
-    previous = F.when(F.col("kind") == "p", F.shiftright("gram", BITS).bitwiseAND(F.lit(_mask(1)))).otherwise(F.col("gram").bitwiseAND(F.lit(_mask(1))))
-    tagged = model.withColumn("previous", F.when(F.col("level") > 1, previous))
-    # At most languages * 2^12 rows: how many entries each character before the predicted one has.
-    sizes = sorted(tagged.where(F.col("previous").isNotNull()).groupBy("lang", "previous").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (-r["n"], r["lang"], r["previous"]))
-    shards = max(1, -(-sum(r["n"] for r in sizes) // shard_rows))
-    load, home = [0] * shards, {}
-    for r in sizes:
-        k = load.index(min(load))
-        load[k] += r["n"]
-        home[r["lang"], r["previous"]] = k
-    schema = "doc_id long, lang string, crc long, size long, n long, total double"
-    parts = []
-    for k in range(shards):
-        mine, own, others = tagged, {}, {}
-        if shards > 1:
-            dealt = spark.createDataFrame([(*x, at) for x, at in home.items()], "dl string, dp long, home int").where(F.col("home") == k)
-            mine = tagged.where(F.col("previous").isNull()).unionByName(tagged.join(dealt, (F.col("lang") == F.col("dl")) & (F.col("previous") == F.col("dp")), "left_semi"))
-            for (lang, p), at in home.items():
-                (own if at == k else others).setdefault(lang, set()).add(p)
-        # The first shard also takes the characters that trusted text never has before another.
-        table = mine.select("kind", "lang", "level", "gram", F.col("value").cast("float").alias("value")).toArrow()
-        shard = spark.sparkContext.broadcast(Shard(table, own) if k else Shard(table, None, others))
-        del table
-        parts.append(rows.mapInArrow(_scored(shard), schema))
-    found = parts[0]
-    if shards > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy("doc_id", "lang", "crc", "size").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    files = texts.table.select("part", "file").distinct().select("part", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("float").alias("value"), "file")
+    rows = files if model is None else files.unionByName(_answers(texts, model).withColumn("file", F.lit(None).cast("string")))
+    found = texts.dealt(rows).mapInArrow(_added(texts.folder), "doc_id long, lang string, size long, n long, total double")
     return found.select("doc_id", "lang", "size", F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def calibrates(doc_id: Column) -> Column:
+    """Whether a trusted document is kept out of training, for the thresholds."""
+    return F.crc32(doc_id.cast("string")) % FOLDS == CALIBRATION
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Every document's doc_id, lang, perplexity, threshold (its language's) and kept.
 
-    Trusted are the documents with a label of quality 1. Cases: null and empty texts have no perplexity and aren't kept;
-    a document whose language has no trusted text has no perplexity and is kept, as nothing speaks against it; a null lang
-    is a language of its own, named by the empty string; a doc_id with several labels is trusted if one of them is 1;
-    repeated rows are scored each (as one, if the model takes several shards); empty tables give no rows.
+    Trusted are the documents with a label of quality 1; a tenth of them, chosen by doc_id, sets the thresholds and the
+    others train the model. Cases: null and empty texts have no perplexity and aren't kept; a document whose language has
+    no trained text has no perplexity and is kept, as nothing speaks against it; a language none of whose trusted documents
+    was kept out of training takes its threshold from those that were not; a null lang is a language of its own, named by
+    the empty string; a doc_id with several labels is trusted if one of them is 1; a null doc_id is never trusted; repeated
+    rows are scored each; empty tables give no rows; other columns are left out.
     """
-    trusted = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("trusted_id")).distinct()
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    # Texts meet their labels by shuffle at every size; a broadcast would be bounded by nothing.
-    model = train(texts.join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi"))
-    scored = materialize(score(docs, model, shard_rows), "perplexity")
-    sample = scored.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").where(F.col("perplexity").isNotNull())
-    limits = sample.groupBy(F.col("lang").alias("limit_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
+    trusted = labels.where((labels["quality"] == 1) & labels["doc_id"].isNotNull()).select(labels["doc_id"].cast("long").alias("trusted_id")).distinct()
+    trusted = materialize(trusted.withColumn("apart", calibrates(F.col("trusted_id"))), "trusted")
+    texts = spool(docs)
+    model = train(texts, trusted.where(~F.col("apart")))
+    scored = materialize(score(texts, model), "perplexity")
+    texts.remove()
+    # Documents meet their labels by shuffle at every size; a broadcast would be bounded by nothing.
+    sample = scored.where(F.col("perplexity").isNotNull()).join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"))
+    at = lambda c: F.percentile_approx(c, quantile, 10_000)
+    limits = sample.groupBy(F.col("lang").alias("limit_lang")).agg((F.coalesce(at(F.when(F.col("apart"), F.col("perplexity"))), at("perplexity")) * margin).alias("threshold"))
     joined = scored.join(F.broadcast(limits), F.col("lang") == F.col("limit_lang"), "left")
     kept = (F.col("size") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))

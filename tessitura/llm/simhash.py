@@ -239,9 +239,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
-    stays = near_duplicates(docs, words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays_id"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays_id"]), "left_semi")

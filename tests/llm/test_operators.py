@@ -394,24 +394,47 @@ def kneser_ney_by_hand(train, order):
     return p
 
 
-def test_kneser_ney(spark):
+def test_kneser_ney(spark, monkeypatch):
     rng = random.Random(12)
     text = lambda: "".join(rng.choices("abc d\n", (5, 3, 2, 3, 1, 1), k=rng.randint(5, 60)))
-    rows = [(i, text(), "x") for i in range(60)] + [(100, "abz漢 q", "x"), (101, "", "x"), (102, None, "x"), (103, "abc", "no model"), (104, text(), None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(60)] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
-    coded = lambda t: [int(c) & 0xFFF for c in quality.grams([t])[0]] if t else []
-    p = kneser_ney_by_hand([coded(t) for i, t, _ in rows if i < 40], quality.ORDER)
-    for shard_rows in (10**6, 60):  # one shard, and several
-        found = {r.doc_id: r for r in quality.classify(docs, labels, shard_rows=shard_rows).collect()}
-        assert len(found) == len(rows)
-        for i, t, lang in rows:
-            if lang == "x" and t:
-                padded = [0] * (quality.ORDER - 1) + coded(t)
-                logs = [np.log(p(tuple(padded[k : k + quality.ORDER]))) for k in range(len(t))]
-                assert found[i].perplexity == pytest.approx(np.exp(-np.mean(logs)), rel=1e-4)
-        assert not found[101].kept and not found[102].kept and found[103].kept and found[103].perplexity is None
-        assert sum(found[i].kept for i in range(40)) >= 38
+    rows = [(i, text(), "x") for i in range(60)] + [(100, "abz漢 q", "x"), (101, "", "x"), (102, None, "x"), (103, "abc", "no model"), (104, text(), None), (None, "ab ab", "x")]
+    rows += [(7, "abab", "x"), (7, "abab", "x"), (7, "abab", "x"), (100, "abz漢 q", "x")]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, part string, row int").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(60)] + [(3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    white = lambda t: [32 if c in "\x00\t\n\x0b\x0c\r\xa0" else ord(c) for c in t or ""]
+    apart = lambda i: zlib.crc32(str(i).encode()) % 10 == 9
+    trained = [white(t) for i, t, _ in rows if i is not None and i < 40 and not apart(i)]
+    p = kneser_ney_by_hand(trained, quality.ORDER)
+    def perplexity(t):
+        padded = [0] * (quality.ORDER - 1) + white(t)
+        return float(np.exp(-np.mean([np.log(p(tuple(padded[k : k + quality.ORDER]))) for k in range(len(t))])))
+    want = sorted(str((i, lang or "", round(perplexity(t), 3) if lang == "x" and t else None)) for i, t, lang in rows)
+    kept_apart = [perplexity(t) for i, t, _ in rows if i is not None and i < 40 and apart(i)]
+    for limit in (1_000_000, 50):  # with 50, a task writes many files
+        monkeypatch.setattr(quality, "FILE_GRAMS", limit)
+        monkeypatch.setattr(quality, "CHUNK", 100 if limit == 50 else 2 << 20)
+        found = quality.classify(docs, labels).collect()
+        assert sorted(str((r.doc_id, r.lang, None if r.perplexity is None else round(r.perplexity, 3))) for r in found) == want
+        by = {r.doc_id: r for r in found}
+        assert by[5].threshold == pytest.approx(max(kept_apart) * quality.MARGIN)
+        assert not by[101].kept and not by[102].kept and by[103].kept and by[103].perplexity is None
+        assert all(r.kept == (r.perplexity <= r.threshold) for r in found if r.perplexity is not None)
+    assert quality.classify(docs, labels.limit(0)).where("kept").count() == len([t for _, t, _ in rows if t])
+    assert quality.classify(docs.limit(0), labels).collect() == []
+
+
+def test_ngrams_of_any_alphabet():
+    rng = random.Random(4)
+    for letters in ("abc", [chr(0x4E00 + i) for i in range(20_000)], ["\x00", "a", "\U0010FFFF"]):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 3000))) for _ in range(20)]
+        owner, number, names = quality.grams(texts)
+        at, clean = 0, [t.replace("\x00", " ") for t in texts]
+        for i, t in enumerate(clean):
+            for k in range(len(t)):
+                assert owner[at] == i and names[number[at]] == ("\0" * 4 + t)[k : k + 5]
+                at += 1
+        assert at == len(owner) and len(set(names)) == len(names)
+    assert quality.grams([""])[2] == quality.grams([])[2] == []
 
 
 def test_embedding_dedup(spark):
