@@ -18,7 +18,6 @@ language, of the perplexities of trusted documents that the model was not traine
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, discard, file_system, fresh_path, materialize, partitions, remove, utf8
+from ._shared import discard, fresh_path, materialize, partitions, utf8
+from .spool import Spool, Writer, grouped, read, written
 
 ORDER = 5
 QUANTILE, MARGIN = 0.99, 1.1
@@ -87,22 +86,18 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[
         yield lang, rows, [bytes(raw[offs[i] : offs[i + 1]]).decode() for i in rows.tolist()]
 
 
-class _File:
-    """A spool file that a task writes: chunks of documents, compressed, and the distinct n-grams so far."""
+class _File(Writer):
+    """A spool file with the distinct n-grams in it so far."""
 
-    def __init__(self, folder: str, part: int) -> None:
-        system, path = file_system(folder)
-        system.create_dir(path, recursive=True)
-        self.part, self.name, self.rows = part, uuid.uuid4().hex, 0
+    limit = FILE_GRAMS
+
+    def __init__(self, folder: str, part: int, schema: pa.Schema) -> None:
+        super().__init__(folder, part, schema)
         self.seen: dict[str, set[str]] = {}
-        self.out = system.open_output_stream(f"{path}/{self.name}", compression=None)
-        self.writer = pa.ipc.new_stream(self.out, _SPOOL, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
 
     def add(self, chunk: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = len(chunk)
-        yield self._rows(n, row=pa.array(np.arange(self.rows, self.rows + n)), doc_id=chunk.column("doc_id"))
-        self.rows += n
-        self.writer.write_batch(chunk)
+        yield self._rows(len(chunk), row=pa.array(np.arange(self.rows, self.rows + len(chunk))), doc_id=chunk.column("doc_id"))
+        self.put(chunk)
         for lang, _, texts in _by_language(chunk):
             seen = self.seen.setdefault(lang, set())
             fresh = [g for g in grams(texts)[2] if g not in seen]
@@ -117,89 +112,39 @@ class _File:
         return pa.record_batch({c: columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()})
 
     def full(self) -> bool:
-        return sum(map(len, self.seen.values())) > FILE_GRAMS
+        return sum(map(len, self.seen.values())) > self.limit
 
-    def close(self) -> None:
-        self.writer.close()
-        self.out.close()
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        self.close()
+        return iter(())
 
 
-def _spooled(folder: str):
+def _spooled(folder: str, limit: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, part = None, TaskContext.get().partitionId()
-        for batch in batches:
-            _, offs = utf8(batch.column("text"))
-            for lo, hi in chunks(offs, CHUNK):
-                if file is None:
-                    file = _File(folder, part)
-                    part += 1 << 20
-                yield from file.add(pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in _SPOOL.names], schema=_SPOOL))
-                if file.full():
-                    file.close()
-                    file = None
-        if file is not None:
-            file.close()
+        return written(batches, folder, _SPOOL, chunk_bytes, type("Limited", (_File,), {"limit": limit}))
 
     return run
 
 
-def _read(folder: str, name: str) -> Iterator[pa.RecordBatch]:
-    system, path = file_system(folder)
-    with system.open_input_stream(f"{path}/{name}", compression=None) as file, pa.ipc.open_stream(file) as reader:
-        yield from reader
-
-
-@dataclass(frozen=True)
-class Spool:
-    """Documents in compressed files of ``folder``; ``table`` has their rows (row, doc_id) and n-grams (lang, gram)."""
-
-    folder: str
-    table: DataFrame
-    parts: int
-
-    def dealt(self, rows: DataFrame) -> DataFrame:
-        """Rows that have a part, all of one part in one task, sorted by it. Parts are spread evenly."""
-        return rows.repartitionById(self.parts, F.pmod("part", F.lit(self.parts)).cast("int")).sortWithinPartitions("part")
-
-    def remove(self) -> None:
-        discard(self.table)
-        remove(self.table.sparkSession, self.folder)
-
-
 def spool(docs: DataFrame) -> Spool:
-    """Write all documents (doc_id, lang, text) to spool files. A null lang is the empty string, a null text is empty."""
+    """Write all documents (doc_id, lang, text) to spool files; the table has their rows (row, doc_id) and n-grams (lang, gram). A
+    null lang is the empty string, a null text is empty."""
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     # Fewer files share more n-grams; each is read by one task.
     parts = max(2 * spark.sparkContext.defaultParallelism, partitions(spark) // 4)
     folder = fresh_path(spark, "spool")
-    return Spool(folder, materialize(rows.coalesce(parts).mapInArrow(_spooled(folder), _TABLE), "spool-table", compression="zstd"), parts)
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Rows of each part; they come sorted by it."""
-    part, kept = None, []
-    for batch in batches:
-        parts = batch.column("part").to_numpy()
-        edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True]) if len(batch) else [0]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if parts[lo] != part and kept:
-                yield part, pa.Table.from_batches(kept)
-                kept = []
-            part = int(parts[lo])
-            kept.append(batch.slice(lo, hi - lo))
-    if kept:
-        yield part, pa.Table.from_batches(kept)
+    return Spool(folder, materialize(rows.coalesce(parts).mapInArrow(_spooled(folder, FILE_GRAMS, CHUNK), _TABLE), "spool-table", compression="zstd"), parts)
 
 
 def _counted(folder: str):
     """N-gram counts of the rows of spool files that are named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, wanted in _grouped(batches):
+        for _, wanted in grouped(batches):
             held: dict[str, dict[str, int]] = {}
             rows, at = np.sort(wanted.column("row").to_numpy()), 0
-            for chunk in _read(folder, wanted.column("file")[0].as_py()):
+            for chunk in read(folder, wanted.column("file")[0].as_py()):
                 lo, hi = np.searchsorted(rows, (at, at + len(chunk)))
                 mine = chunk.take(pa.array(rows[lo:hi] - at))
                 at += len(chunk)
@@ -299,7 +244,7 @@ def _added(folder: str):
     """Documents of each spool file with the log probabilities of their characters added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches):
+        for _, rows in grouped(batches):
             name = next(x for x in rows.column("file").unique().to_pylist() if x is not None)
             known: dict[str, tuple[pd.Index, np.ndarray]] = {}
             rows = rows.filter(pa.compute.is_valid(rows.column("gram")))
@@ -307,7 +252,7 @@ def _added(folder: str):
                 mine = rows.filter(pa.compute.equal(rows.column("lang"), lang))
                 known[lang] = (pd.Index(mine.column("gram").to_pylist(), dtype=object), mine.column("value").to_numpy())
             del rows
-            for chunk in _read(folder, name):
+            for chunk in read(folder, name):
                 n, total = np.zeros(len(chunk), np.int64), np.zeros(len(chunk))
                 sizes = np.zeros(len(chunk), np.int64)
                 for lang, mine, texts in _by_language(chunk):

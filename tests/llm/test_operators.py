@@ -269,6 +269,37 @@ def test_substring_dedup(docs, nothing, corpus):
     assert substring.remove_repeats(nothing).collect() == []
 
 
+def test_substring_dedup_with_hot_anchors_and_small_files(docs, corpus, monkeypatch):
+    """Phrases of every anchor that more than two rows have go through the join on windows."""
+    want = repeats_by_hand(corpus)
+    monkeypatch.setattr(substring, "FILE_PHRASES", 50)
+    monkeypatch.setattr(substring, "CHUNK", 1000)
+    found = substring.remove_repeats(docs, with_text=False, hot=2).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in found} == {i: w[:2] for i, w in want.items()}
+
+
+@pytest.mark.parametrize("hot", [200_000, 50])
+def test_substring_dedup_of_one_frequent_phrase(spark, hot):
+    """Windows over one phrase, nearly all different, in runs of white space; only real repeats go."""
+    rng = random.Random(5)
+    rows = [(i, f"a b  c d\ne {' '.join(str(rng.randrange(3)) for _ in range(8))} {i}", None, None, None) for i in range(3000)]
+    want = repeats_by_hand(rows)
+    found = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame(rows, DOCS), with_text=False, hot=hot).collect()}
+    assert found == {i: w[1] for i, w in want.items()}
+    assert 100 < sum(n > 0 for n in found.values()) < 2900
+
+
+def test_substring_dedup_compares_words(spark):
+    """Words of 2048 bytes whose polynomial hashes modulo 2^64 agree whatever the base are different words."""
+    odd = "a"
+    while len(odd) < 2048:
+        odd += odd.translate(str.maketrans("ab", "ba"))
+    other = odd.translate(str.maketrans("ab", "ba"))
+    rows = [(i, f"one two three {w} four five six seven eight nine ten eleven twelve", None, None, None) for i, w in enumerate((odd, other, odd))]
+    found = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {0: 0, 1: 0, 2: 13}
+
+
 def test_substring_dedup_of_repeated_and_null_ids(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     rows = [(3, passage + " tail", None, None, None), (3, "other " + passage, None, None, None), (None, passage, None, None, None), (9, passage, None, None, None)]
