@@ -1,13 +1,16 @@
-"""Near-duplicate texts by the similarity of their word shingles, complete at every size.
-
-Texts are sets of hashed runs of WORDS words; two are linked if their sets' Jaccard similarity is at least LEAST. A set of n
-shingles that is linked with another shares one of its first n - ceil(LEAST n) + 1 shingles with it, in any order that all
-sets keep (prefix filter); no link is missed. The order puts rare shingles first by a sketch of their counts, so common
-passages make few candidates. Sizes and places in the order rule further candidates out; the rest is verified on the texts.
-
-Sets that share a shingle are first compared along a chain. Only what the chain leaves in different components is compared
-in pairs afterwards, in blocks, so a large group of near copies costs its size and not its square. Sets are named by a
-signature of 64 bits, which equal sets share.
+"""Near-dedup of whole texts for the SimHash operator: links at a shingle similarity, complete at every size.
+
+Texts are sets of hashed runs of WORDS words; two are linked if their sets' Jaccard similarity is at least LEAST, which is
+verified on the texts. Sets are named by a signature of 64 bits, which equal sets share. Candidates come in two ways.
+
+First by fingerprints: sets whose SimHashes the Golay keys link. At a similarity of 0.8 about ten of 64 bits differ, beyond
+what any code of that length corrects, so keys alone can't give right results: they find copies with few edits only.
+Therefore, second, by a prefix filter: a set of n shingles that is linked with another shares one of its first
+n - ceil(LEAST n) + 1 shingles with it, in any order that all sets keep; no link is missed. The order puts rare shingles
+first by a sketch of their counts, so common passages make few candidates. Sizes and places in the order rule further
+candidates out. Sets that share a shingle are first compared along a chain. Only what fingerprints and chains leave in
+different components is compared in pairs afterwards, in blocks, so a large group of near copies costs its size and not
+its square.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SpanHasher, chunks, materialize, mix64, partitions, split_words, utf8
+from ._shared import SpanHasher, chosen, chunks, identity, materialize, mix64, partitions, split_words, utf8
 from .components import connected_components
+from .simhash import fingerprint_links
 
 WORDS, LEAST = 5, "0.8"
 #: Buckets of the sketch of shingle counts, and the pieces it is added up in.
@@ -69,8 +73,20 @@ def _signatures(row: np.ndarray, found: np.ndarray, rows: int) -> tuple[np.ndarr
     return names.view(np.int64), size
 
 
+def fingerprints(row: np.ndarray, found: np.ndarray, rows: int) -> np.ndarray:
+    """The SimHash of each row's set: a bit is 1 if it is set in over half the hashes; 0 for the empty set."""
+    out = np.zeros(rows, np.int64)
+    size = np.bincount(row, minlength=rows)
+    some = np.flatnonzero(size)
+    if len(some):
+        bits = np.unpackbits(np.ascontiguousarray(found).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, (np.cumsum(size) - size)[some], axis=0, dtype=np.int32)
+        out[some] = np.packbits(2 * ones > size[some, None], axis=1, bitorder="little").view("<i8")[:, 0]
+    return out
+
+
 def _signed(words: int):
-    """doc_id and signature of every text, and the task's part of the sketch."""
+    """key, doc_id, signature and fingerprint of every text, and the task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = SpanHasher(), np.zeros(BUCKETS, np.int64)
@@ -80,10 +96,11 @@ def _signed(words: int):
                 row, found = shingles(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], hasher, words)
                 np.add.at(counts, (found >> np.uint64(44)).astype(np.int64), 1)
                 names, _ = _signatures(row, found, hi - lo)
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "sig": pa.array(names), "piece": pa.nulls(hi - lo, pa.int32()), "counts": pa.nulls(hi - lo, pa.binary())})
+                known = {c: batch.column(c).slice(lo, hi - lo) for c in ("key", "doc_id")}
+                yield pa.record_batch(known | {"sig": pa.array(names), "fp": pa.array(fingerprints(row, found, hi - lo)), "piece": pa.nulls(hi - lo, pa.int32()), "counts": pa.nulls(hi - lo, pa.binary())})
         if counts.any():
             blobs = [p.tobytes() for p in counts.reshape(PIECES, -1)]
-            yield pa.record_batch({"doc_id": pa.nulls(PIECES, pa.int64()), "sig": pa.nulls(PIECES, pa.int64()), "piece": pa.array(np.arange(PIECES, dtype=np.int32)), "counts": pa.array(blobs, pa.binary())})
+            yield pa.record_batch({"key": pa.nulls(PIECES, pa.string()), "doc_id": pa.nulls(PIECES, pa.int64()), "sig": pa.nulls(PIECES, pa.int64()), "fp": pa.nulls(PIECES, pa.int64()), "piece": pa.array(np.arange(PIECES, dtype=np.int32)), "counts": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -194,21 +211,28 @@ def _links(pairs: DataFrame, rows: DataFrame, words: int, least: Fraction) -> Da
     return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, least), "a long, b long"), "near")
 
 
-def similar_documents(docs: DataFrame, words: int = WORDS, least: str = LEAST, block: int = BLOCK) -> DataFrame:
-    """Every document's doc_id, sig and component_id: the smallest doc_id reachable over links of similarity ``least`` or more.
+def _print_pairs(names: DataFrame) -> DataFrame:
+    """Pairs a, b of set names that Golay keys join: the least set of each fingerprint with its others and along the links."""
+    sets = names.select("fp", "sig").distinct()
+    least = materialize(sets.groupBy("fp").agg(F.min("sig").alias("low")), "prints")
+    one, other = (least.select(F.col("fp").alias(f"fp_{s}"), F.col("low").alias(s)) for s in "ab")
+    links = fingerprint_links(least.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    linked = links.join(one, F.col("x") == F.col("fp_a")).join(other, F.col("y") == F.col("fp_b")).select("a", "b")
+    same = sets.join(least.select(F.col("fp").alias("fp_s"), F.col("low").alias("a")), F.col("fp") == F.col("fp_s")).where(F.col("sig") != F.col("a")).select("a", F.col("sig").alias("b"))
+    both = linked.unionByName(same)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    Cases: null, empty and wordless texts are one set and linked with each other alone; texts of fewer words than a shingle
-    are one shingle; repeated rows are linked like other equal texts; a null doc_id is never the smallest unless its
-    component has no other; an empty table gives no rows.
-    """
+
+def _components(docs: DataFrame, words: int, least: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """key, doc_id and sig of every row, and roots (node, root) of the sets that aren't their component's least."""
     share = Fraction(least)
     if not 0 < share <= 1:
         raise ValueError("least is above 0 and at most 1")
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    signed = materialize(rows.mapInArrow(_signed(words), "doc_id long, sig long, piece int, counts binary"), "signatures")
-    names = signed.where(F.col("sig").isNotNull()).select("doc_id", "sig")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), identity(docs["doc_id"], docs["text"]).alias("key"))
+    signed = materialize(rows.mapInArrow(_signed(words), "key string, doc_id long, sig long, fp long, piece int, counts binary"), "signatures")
+    names = signed.where(F.col("sig").isNotNull()).select("key", "doc_id", "sig", "fp")
     added = signed.where(F.col("piece").isNotNull()).select("piece", "counts").repartition(PIECES, "piece").mapInArrow(_levels, "piece int, levels binary")
     found = {r.piece: bytes(r.levels) for r in added.collect()}
     sketch = spark.sparkContext.broadcast(b"".join(found.get(k, bytes(BUCKETS // PIECES)) for k in range(PIECES)))
@@ -224,7 +248,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: str = LEAST, b
 
     near = possible(F.col("n"), F.col("last_n"), F.col("place"), F.col("last_place"))
     pairs = groups.where(F.col("last_sig").isNotNull() & near).select(F.least("sig", "last_sig").alias("a"), F.greatest("sig", "last_sig").alias("b"))
-    tried = materialize(pairs.distinct(), "pairs")
+    tried = materialize(pairs.unionByName(_print_pairs(names)).distinct(), "pairs")
     chained = _links(tried, rows, words, share)
     joined = connected_components(chained)
 
@@ -244,6 +268,17 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: str = LEAST, b
     links = chained if left.isEmpty() else chained.unionByName(_links(left, rows, words, share))
     roots = joined if left.isEmpty() else connected_components(links)
 
+    return names.drop("fp"), roots
+
+
+def similar_documents(docs: DataFrame, words: int = WORDS, least: str = LEAST, block: int = BLOCK) -> DataFrame:
+    """Every document's doc_id, sig and component_id: the smallest doc_id reachable over links of similarity ``least`` or more.
+
+    Cases: null, empty and wordless texts are one set and linked with each other alone; texts of fewer words than a shingle
+    are one shingle; repeated rows are linked like other equal texts; a null doc_id is never the smallest unless its
+    component has no other; an empty table gives no rows; other columns are left out.
+    """
+    names, roots = _components(docs, words, least, block)
     distinct = names.groupBy("sig").agg(F.min("doc_id").alias("smallest"))
     rooted = distinct.join(roots, distinct["sig"] == roots["node"], "left").select("sig", "smallest", F.coalesce("root", "sig").alias("top"))
     component = rooted.groupBy("top").agg(F.min("smallest").alias("component_id"))
@@ -252,6 +287,16 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: str = LEAST, b
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, least: str = LEAST) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
-    stays = similar_documents(docs, words, least).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays_id"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays_id"]), "left_semi")
+    """One document of each component with all its columns: the one with the smallest doc_id.
+
+    Cases as in ``similar_documents``. Where several rows have that doc_id (or all of a component have none), the one whose
+    hash of doc_id and text is the smallest stays, and of rows that share both a single one.
+    """
+    names, roots = _components(docs, words, least, BLOCK)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    distinct = names.groupBy("sig").agg(F.min(rank).alias("first"))
+    rooted = distinct.join(roots, distinct["sig"] == roots["node"], "left").select("first", F.coalesce("root", "sig").alias("top"))
+    stays = rooted.groupBy("top").agg(F.min("first").alias("first")).select(F.col("first.key").alias("stay"))
+    counts = names.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    plan = counts.join(stays, F.col("key") == F.col("stay"), "left_semi").select("key", "rows", F.lit(1).alias("copies"))
+    return chosen(docs, [identity(docs["doc_id"], docs["text"])], materialize(plan, "stays"))

@@ -148,8 +148,10 @@ def _asked(folder: str, size: int):
             if known is None or d < known:
                 least[p, w] = d
         own = np.array([least[p, w] for p, w in zip(found["place"].tolist(), words, strict=True)], np.int64) < doc
+        # What is settled needs no block; a hash of its place spreads it.
+        key = np.where(own, mix64((base + found["row"]).astype(np.uint64) << np.uint64(32) ^ found["start"].astype(np.uint64)), found["anchor"])
         yield pa.record_batch({
-            "anchor": pa.array(found["anchor"].view(np.int64)), "part": pa.array(np.full(len(keep), part)), "row": pa.array(base + found["row"]),
+            "anchor": pa.array(key.view(np.int64)), "part": pa.array(np.full(len(keep), part)), "row": pa.array(base + found["row"]),
             "start": pa.array(found["start"].astype(np.int32)), "place": pa.array(found["place"].astype(np.int32)), "n": pa.array(found["n"].astype(np.int32)),
             "doc_id": pa.array(doc), "words": pa.array([None if x else w for x, w in zip(own.tolist(), words, strict=True)], pa.binary()),
         })
@@ -343,7 +345,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, *, with_text: bool = Tru
     blocks = table.where(F.col("block").isNotNull()).repartitionById(n, F.col("block")).sortWithinPartitions("block")
     shared = blocks.mapInArrow(_shared_anchors, "part long, file string, anchors binary")
     asked = texts.dealt(shared).mapInArrow(_asked(folder, size), _PHRASE)
-    # Factors that a chunk has found itself have no words; they are spread like all phrases and pass through.
+    # Factors that a chunk has found itself have no words and pass through.
     dealt = asked.repartition(n, "anchor").sortWithinPartitions("anchor")
     found = materialize(dealt.mapInArrow(_blocks(hot, size), "part long, row long, start int, place int, n int, doc_id long, words binary"), "factors", compression="zstd")
     short = found.where(F.col("words").isNull()).select("part", "row", "start", "n")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tessitura.llm import near_text
 from tests.llm.test_operators import words_of
@@ -58,6 +60,26 @@ def test_components_against_brute_force(spark):
     assert near_text.similar_documents(docs.limit(0)).collect() == []
 
 
+def test_one_row_of_repeated_and_null_ids_stays(spark):
+    same, other, third = "one two three four five six", "a b c d e f g", "x y z"
+    rows = [(5, same, "a"), (5, same, "b"), (5, same, "b"), (None, same, "c"), (None, other, "d"), (None, other, "d"), (None, third, "e"), (None, None, "f"), (None, "", "g"), (7, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    out = near_text.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, [(5, same), (None, other), (None, third), (7, "")]))
+    assert near_text.drop_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_fingerprints_against_plain_votes():
+    rng = np.random.default_rng(2)
+    row = np.repeat([0, 2, 3], [5, 1, 40])
+    found = rng.integers(0, 2**63, len(row)).astype(np.uint64)
+    got = near_text.fingerprints(row, found, 5)
+    for r in range(5):
+        mine = [int(x) for x in found[row == r]]
+        assert int(got[r]) % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mine) > len(mine))
+
+
 def test_stage_drops_all_similar_texts(spark, tmp_path):
     rows = [(i, text, "en", "a", 0) for i, text in texts()]
     docs = spark.createDataFrame(rows, DOCS)

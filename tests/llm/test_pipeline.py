@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tessitura.llm import mixing
 from tests.llm.test_mixing import targets_by_hand
-from tests.llm.test_operators import simhash_by_hand
+from tests.llm.test_near_text import components_by_hand
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -42,15 +42,7 @@ def test_stages_against_brute_force(spark, tmp_path):
                 last[kept[i][1]] = i
             kept = {i: kept[i] for i in last.values()}
         elif k == 2:
-            prints = {i: simhash_by_hand(r[1]) for i, r in kept.items()}
-            root = {i: i for i in kept}
-            changed = True
-            while changed:
-                changed = False
-                for a in kept:
-                    for b in kept:
-                        if root[b] < root[a] and (prints[a] ^ prints[b]).bit_count() <= 3:
-                            root[a], changed = root[b], True
+            root = components_by_hand([(i, r[1]) for i, r in kept.items()])  # five words, 0.8
             assert any(i != r for i, r in root.items())
             kept = {i: r for i, r in kept.items() if root[i] == i}
         if k < 3:
@@ -70,3 +62,21 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert encoded == sorted((i, x, hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in ids)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(found)
     assert mixing.CLASSES[-1] == 0 and [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "mixing", "byte_bpe"]
+
+
+def test_stages_of_nothing_and_of_repeated_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "the same words again and again in one text that several rows hold"
+    rows = [(5, text, "en", "a", 1)] * 3 + [(None, text + " more", "en", None, 1)] * 2 + [(None, "other words altogether", "en", "a", 1), (9, None, None, None, None)]
+    for k, docs in enumerate((spark.createDataFrame([], schema), spark.createDataFrame(rows, schema))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            out.write.parquet(str(tmp_path / f"{name}-{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}-{k}"))
+            found = sorted(str((r.doc_id, r.text)) for r in docs.collect())
+            if name == "exact_dedup" and k:
+                assert found == sorted(map(str, [(5, text), (None, text + " more"), (None, "other words altogether")]))
+            if name == "simhash_near_dedup" and k:
+                assert found == sorted(map(str, [(5, text), (None, "other words altogether")]))
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(found)
+        assert k or not found
