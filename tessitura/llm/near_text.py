@@ -8,9 +8,9 @@ what any code of that length corrects, so keys alone can't give right results: t
 Therefore, second, by a prefix filter: a set of n shingles that is linked with another shares one of its first
 n - ceil(LEAST n) + 1 shingles with it, in any order that all sets keep; no link is missed. The order puts rare shingles
 first by a sketch of their counts, so common passages make few candidates. Sizes and places in the order rule further
-candidates out. Sets that share a shingle are first compared along a chain. Only what fingerprints and chains leave in
-different components is compared in pairs afterwards, in blocks, so a large group of near copies costs its size and not
-its square.
+candidates out. Sets that share a shingle are first compared along a chain. What
+fingerprints and chains leave in different components is compared in full, in pairs of blocks of bounded size whose common
+shingles a matrix product counts; no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -20,18 +20,21 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import SpanHasher, chosen, chunks, identity, materialize, mix64, partitions, split_words, utf8
 from .components import connected_components
 from .simhash import fingerprint_links
+from .spool import grouped
 
 WORDS, LEAST = 5, "0.8"
 #: Buckets of the sketch of shingle counts, and the pieces it is added up in.
 BUCKETS, PIECES = 1 << 20, 16
-#: Sets of one shingle that are compared as one block.
-BLOCK = 1024
+#: Sets that are compared as one block, and shingles of such a block.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Columns of the matrix that counts common shingles.
+COLUMNS = 1 << 14
 _B = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -223,6 +226,82 @@ def _print_pairs(names: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each of n nodes to its component's least node, where that is another one."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    moved = np.flatnonzero(root != np.arange(n))
+    return moved, root[moved]
+
+
+def _apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Sets whose shingles also sets of other components have: low, sig, root and n. low is the least root of a shingle's sets, so that the shingles of one group of near copies make one group here."""
+    rest = groups.select("key", "sig", "n").join(roots, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    spans = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = spans.where(F.col("low") != F.col("high")).select(F.col("key").alias("k"), "low")
+    return rest.join(mixed, F.col("key") == F.col("k")).select("low", "sig", "root", "n").distinct()
+
+
+def _compared(words: int, least: Fraction):
+    """Links between sets of different components within each pair of blocks, no more than there are sets."""
+
+    def links(sig: np.ndarray, root: np.ndarray, side: np.ndarray, same: bool, row: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.bincount(row, minlength=len(sig))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+        _, column, times = np.unique(found, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+            has = np.zeros((len(sig), COLUMNS), np.float32)
+            has[row[a:b], column[a:b] - lo] = 1
+            common += has[left] @ has[right].T
+        common = common.astype(np.int64)
+        union = size[left][:, None] + size[right][None] - common
+        near = (common * least.denominator >= union * least.numerator) & (root[left][:, None] != root[right][None])
+        a, b = np.nonzero(near)
+        return forest(left[a], right[b], len(sig))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
+        for _, rows in grouped(batches, "task"):
+            raw, offs = utf8(rows.column("text"))
+            row, found = shingles(raw[offs[0] : offs[-1]], offs - offs[0], hasher, words)
+            sig, root, side = (rows.column(c).to_numpy() for c in ("sig", "root", "side"))
+            a, b = links(sig, root, side, bool(rows.column("same")[0].as_py()), row, found)
+            if len(a):
+                yield pa.record_batch({"a": pa.array(sig[a]), "b": pa.array(sig[b])})
+
+    return run
+
+
+def _compared_blocks(members: DataFrame, rows: DataFrame, words: int, least: Fraction, block: int) -> DataFrame:
+    """Links a, b between sets of one group (low) and different components; groups are cut into blocks of bounded size."""
+    n = partitions(members.sparkSession)
+    needed = members.select(F.col("sig").alias("need")).distinct()
+    named = rows.select("text").mapInArrow(_named(words), "sig long, text string").join(needed, F.col("sig") == F.col("need"), "left_semi")
+    texts = materialize(named.groupBy(F.col("sig").alias("of")).agg(F.min("text").alias("text")), "texts")
+    wanted = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    sizes = members.groupBy(F.col("low").alias("l")).agg(wanted.alias("blocks"))
+    placed = members.join(sizes, F.col("low") == F.col("l")).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    first, last = F.least("mine", "other"), F.greatest("mine", "other")
+    tasks = placed.select("sig", "root", F.xxhash64("low", first, last).alias("task"), (F.col("mine") == F.col("other")).alias("same"), F.when(F.col("mine") == first, 0).otherwise(1).alias("side"))
+    full = tasks.join(texts, F.col("sig") == F.col("of")).select("task", "same", "side", "sig", "root", "text")
+    dealt = full.repartition(n, "task").sortWithinPartitions("task", "side", "sig")
+    return materialize(dealt.mapInArrow(_compared(words, least), "a long, b long"), "near")
+
+
 def _components(docs: DataFrame, words: int, least: str, block: int) -> tuple[DataFrame, DataFrame]:
     """key, doc_id and sig of every row, and roots (node, root) of the sets that aren't their component's least."""
     share = Fraction(least)
@@ -241,33 +320,20 @@ def _components(docs: DataFrame, words: int, least: str, block: int) -> tuple[Da
     dealt = keyed.repartition(n, "key").sortWithinPartitions("key", "n", "sig")
     groups = materialize(dealt.mapInArrow(_chained, "key long, sig long, n int, place int, last_sig long, last_n int, last_place int"), "shingles")
 
-    def possible(n_a, n_b, place_a, place_b):
+    def possible(n_a: Column, n_b: Column, place_a: Column, place_b: Column) -> Column:
         """Sizes and places that leave room for enough common shingles, if the key is the first one in common."""
-        room = 1 + F.least(n_a - place_a, n_b - place_b) - 1
+        room = F.least(n_a - place_a, n_b - place_b)
         return (F.least(n_a, n_b) * share.denominator >= F.greatest(n_a, n_b) * share.numerator) & (room * (share.numerator + share.denominator) >= (n_a + n_b) * share.numerator)
 
     near = possible(F.col("n"), F.col("last_n"), F.col("place"), F.col("last_place"))
     pairs = groups.where(F.col("last_sig").isNotNull() & near).select(F.least("sig", "last_sig").alias("a"), F.greatest("sig", "last_sig").alias("b"))
     tried = materialize(pairs.unionByName(_print_pairs(names)).distinct(), "pairs")
-    chained = _links(tried, rows, words, share)
-    joined = connected_components(chained)
-
-    rest = groups.select("key", "sig", "n", "place").join(joined, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "place", F.coalesce("root", "sig").alias("root"))
-    mixed = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where((F.col("low") != F.col("high")) & (F.col("size") > 2))
-    mixed = mixed.select(F.col("key").alias("k"), F.ceil(F.col("size") / block).cast("long").alias("blocks"))
-    placed = rest.join(mixed, F.col("key") == F.col("k")).select("key", "sig", "n", "place", "root", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("mine"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("key", "sig", "n", "place", "root", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    x, y = placed.alias("x"), placed.alias("y")
-    col = F.col
-    apart = (col("x.root") != col("y.root")) & possible(col("x.n"), col("y.n"), col("x.place"), col("y.place"))
-    once = F.when(col("x.low") == col("x.high"), col("x.sig") < col("y.sig")).otherwise((col("x.mine") == col("x.low")) & (col("y.mine") == col("y.high")))
-    met = x.join(y, (col("x.key") == col("y.key")) & (col("x.low") == col("y.low")) & (col("x.high") == col("y.high")) & once & apart)
-    met = met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    left = materialize(met.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = chained if left.isEmpty() else chained.unionByName(_links(left, rows, words, share))
-    roots = joined if left.isEmpty() else connected_components(links)
-
+    links = _links(tried, rows, words, share)
+    roots = connected_components(links)
+    members = materialize(_apart(groups, roots), "apart")
+    if not members.isEmpty():
+        more = _compared_blocks(members, rows, words, share, block)
+        roots = connected_components(links.unionByName(more))
     return names.drop("fp"), roots
 
 
