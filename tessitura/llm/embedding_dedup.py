@@ -1,10 +1,13 @@
 """Embedding near-dedup by sorted projection passes.
 
 Equal vectors are one class. In each pass a class gets a key of 64 random hyperplane bits; classes of a label are sorted
-by it and each is compared with the next WINDOW ones. Verified pairs of all passes are united to components. Windows are
-bounded, so inside a component links may be missing that no window held; therefore every component is compared in full
-afterwards, in pairs of blocks, and links are counted there, not emitted. What can be missed is only a component that no
-pass touches: two vectors at the threshold meet in one pass with a chance of about a half, in PASSES passes almost surely.
+by it and each is compared with the next WINDOW ones. Verified pairs of all passes are united to components.
+
+Windows are bounded, so a link that no window held would be missing; the more of a label's vectors lie close together, the
+more there are. Therefore the classes of a label are compared in full afterwards, in pairs of blocks that are dealt out
+over the cluster; links are counted there, not emitted, and only a spanning forest is handed on. That is exact and costs
+the square of a label's classes. Without it (``exact=False``) only components that the passes found are compared in full:
+that costs what the passes cost, and what can be missed is a component, or a link between two, that no window held.
 """
 
 from __future__ import annotations
@@ -16,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, partitions
+from ._shared import forest, materialize, partitions
 from .components import connected_components
 
 PASSES, WINDOW, KEY_BITS = 16, 32, 64
-#: Classes of a component that are compared as one block.
-BLOCK = 1024
+#: Classes that are compared as one block.
+BLOCK = 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -71,17 +74,8 @@ def _windows(window: int, least: float):
             left.append(a[near])
             right.append(a[near] + step)
         a, b = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-        root = np.arange(len(x))
-        while True:
-            low = np.minimum(root[a], root[b])
-            before = root.copy()
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            root = root[root]
-            if (root == before).all():
-                break
-        moved = np.flatnonzero(root != np.arange(len(x)))
-        return ids[moved], ids[root[moved]]
+        moved, root = forest(a, b, len(x))
+        return ids[moved], ids[root]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -108,10 +102,11 @@ def _windows(window: int, least: float):
 
 
 def _counted(least: float):
-    """Links of each class within a pair of blocks; rows come sorted by their pair (task key) and side."""
+    """Links of each class within a pair of blocks, and the least class there it is joined with; rows come sorted by their pair (task key) and side."""
 
     def count(side: np.ndarray, ids: np.ndarray, x: np.ndarray, n: np.ndarray, same: bool) -> pa.RecordBatch:
         got = np.zeros(len(ids), np.int64)
+        moved = root = np.zeros(0, np.int64)
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1)))
         for lo in range(0, len(left), 512):
             mine = left[lo : lo + 512]
@@ -119,9 +114,13 @@ def _counted(least: float):
             if same:
                 near[np.arange(len(mine)), lo + np.arange(len(mine))] = False
             got[mine] += near @ n[right]
+            a, b = np.nonzero(near)
+            moved, root = forest(np.r_[moved, mine[a]], np.r_[root, right[b]], len(ids))
             if not same:
                 got[right] += n[mine] @ near
-        return pa.record_batch({"id": pa.array(ids, pa.int64()), "links": pa.array(got)})
+        low = ids.copy()
+        low[moved] = ids[root]
+        return pa.record_batch({"id": pa.array(ids, pa.int64()), "links": pa.array(got), "low": pa.array(low, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag, kept = None, []
@@ -146,7 +145,7 @@ def _counted(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, *, passes: int = PASSES, window: int = WINDOW, seed: int = 7, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, *, passes: int = PASSES, window: int = WINDOW, seed: int = 7, block: int = BLOCK, exact: bool = True) -> DataFrame:
     """Every vector's vec_id, n_links, component_id and kept; vectors link at a cosine of at least ``least``.
 
     ``vectors`` has vec_id, embedding (array) and label. Only equal, non-null labels and equal lengths are compared.
@@ -165,16 +164,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, *, passes: int = PA
     keyed = classes.select("id", "label", "dim", "vector").mapInArrow(_passes(passes, seed), "pass int, label long, dim int, key long, id long, vector array<double>")
     keyed = keyed.repartitionByRange(n, "pass", "label", "dim", "key", "id").sortWithinPartitions("pass", "label", "dim", "key", "id")
     links = keyed.select("pass", "label", "dim", "id", "vector").mapInArrow(_windows(window, least), "a long, b long")
-    roots = materialize(connected_components(links), "roots")
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size")).select(F.col("root").alias("r"), F.ceil(F.col("size") / block).cast("long").alias("blocks"))
-    placed = members.join(sizes, F.col("root") == F.col("r")).select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("mine"))
+    links = materialize(links, "links")
+    if exact:
+        grouped = classes.select(F.col("id").alias("node"), F.xxhash64("label", "dim").alias("group"))
+    else:
+        joined = connected_components(links)
+        grouped = joined.select("node", F.col("root").alias("group")).union(joined.select("root", "root").distinct())
+    sizes = grouped.groupBy(F.col("group").alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    placed = grouped.join(sizes, F.col("group") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    tasks = placed.select("node", F.xxhash64("root", low, high).alias("task"), (F.col("mine") == F.col("other")).alias("same"), F.when(F.col("mine") == low, 0).otherwise(1).alias("side"))
+    tasks = placed.select("node", F.xxhash64("group", low, high).alias("task"), (F.col("mine") == F.col("other")).alias("same"), F.when(F.col("mine") == low, 0).otherwise(1).alias("side"))
     full = tasks.join(classes, tasks["node"] == classes["id"]).select("task", "same", "side", "id", "n", "vector")
     dealt = full.repartition(n, "task").sortWithinPartitions("task", "side", "id")
-    counts = dealt.mapInArrow(_counted(least), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    compared = materialize(dealt.mapInArrow(_counted(least), "id long, links long, low long"), "compared")
+    counts = compared.groupBy("id").agg(F.sum("links").alias("links"))
+    roots = connected_components(links.unionByName(compared.where(F.col("low") != F.col("id")).select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     known = classes.select("label", "h", "g", "id", "n").join(counts, "id", "left").join(members, F.col("id") == F.col("node"), "left")
     known = known.select(F.col("label").alias("l"), F.col("h").alias("hh"), F.col("g").alias("gg"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     same = F.col("usable") & (F.col("label") == F.col("l")) & (F.col("h") == F.col("hh")) & (F.col("g") == F.col("gg"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SpanHasher, chosen, chunks, identity, materialize, mix64, partitions, split_words, utf8
+from ._shared import SpanHasher, chosen, chunks, forest, identity, materialize, mix64, partitions, split_words, utf8
 from .components import connected_components
 from .simhash import fingerprint_links
 from .spool import grouped
@@ -226,21 +226,6 @@ def _print_pairs(names: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each of n nodes to its component's least node, where that is another one."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    moved = np.flatnonzero(root != np.arange(n))
-    return moved, root[moved]
-
-
 def _apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """Sets whose shingles also sets of other components have: low, sig, root and n. low is the least root of a shingle's sets, so that the shingles of one group of near copies make one group here."""
     rest = groups.select("key", "sig", "n").join(roots, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("root", "sig").alias("root"))

@@ -485,8 +485,8 @@ def test_embedding_dedup(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, key int").repartition(4)
     usable = {i: (np.array(v) / np.linalg.norm(v), c) for i, v, c, _ in rows if c is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = {i: [j for j, (w, d) in usable.items() if j != i and c == d and len(v) == len(w) and v @ w >= 0.98] for i, (v, c) in usable.items()}
-    for block in (1024, 50):
-        found = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame, window=8, block=block).collect()}
+    for block, exact in ((4096, True), (50, True), (50, False)):
+        found = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame, window=8, block=block, exact=exact).collect()}
         assert len(found) == len(rows)
         for i, *_ in rows:
             seen, todo = {i}, [i]
@@ -499,6 +499,23 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("size", [500, 4000])
+def test_embedding_recall_in_one_concentrated_label(spark, size):
+    """Isolated pairs at a cosine of 0.981 among vectors of mean cosine 0.9: all are found, whatever the label's size."""
+    rng = np.random.default_rng(size)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(unit(rng.standard_normal(64)) * 3 + unit(rng.standard_normal((size, 64))))
+    step = rng.standard_normal((size // 10, 64))
+    step = unit(step - (step * base[: size // 10]).sum(axis=1, keepdims=True) * base[: size // 10])
+    x = np.concatenate([base, 0.981 * base[: size // 10] + np.sqrt(1 - 0.981**2) * step])
+    want = ((x @ x.T >= 0.98).sum(axis=1) - 1).tolist()
+    frame = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)] + [(10**6, x[0].tolist(), 3)] * 2, "vec_id long, embedding array<double>, label int").repartition(4)
+    found = embedding_dedup.near_duplicates(frame, passes=2, window=4, block=700).collect()
+    got = {r.vec_id: r.n_links for r in found if r.vec_id < 10**6}
+    extra = [2 if x[i] @ x[0] >= 0.98 else 0 for i in range(len(x))]
+    assert got == {i: w + e for i, (w, e) in enumerate(zip(want, extra, strict=True))} and len(found) == len(x) + 2
+
+
 def test_words_are_those_of_the_pattern():
     text = "a\x1cb\x85c\xa0d e\x0bf\x0cg\r\nh"
     raw = np.frombuffer(text.encode(), np.uint8)
