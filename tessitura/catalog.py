@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from .plans import array_queries, melody_queries, note_queries, series_queries, stream_queries, table_queries, window_queries  # noqa: E402, F401  they register themselves
+from .plans import array_queries, melody_queries, note_queries, pattern_queries, series_queries, stream_queries, table_queries, window_queries  # noqa: E402, F401  they register themselves

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .lineage import numbered
+
 
 def bin_of(value: Column, low: float, high: float, width: float) -> Column:
     """Bin from 0; the last bin holds its upper edge. Null outside."""
@@ -119,3 +121,26 @@ def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def top_n(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def kept_counts(rows: DataFrame, key: str, removed: Column) -> DataFrame:
+    """key, total and kept: rows, and rows that ``removed`` doesn't mark."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.coalesce(removed, F.lit(False))).alias("kept"))
+
+
+def most_common(rows: DataFrame, column: str) -> DataFrame:
+    """Values of a column with their counts n and rank, the most frequent first. Only the counts are put in order."""
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return numbered(counts.withColumn("_less", -F.col("n")), "rank", "_less", column).drop("_less").withColumn("rank", F.col("rank") + 1)
+
+
+def line_counts(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key, files and lines: texts and their lines that aren't blank."""
+    lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda v: v.rlike(r"[^\x09-\x0D\x20]")))
+    return files.groupBy(key).agg(F.count(F.lit(1)).alias("files"), F.sum(lines).alias("lines"))
+
+
+def distance_histogram(rows: DataFrame, key: str, distance: str, step: float, bins: int) -> DataFrame:
+    """key, bin and n over ``bins`` bins of width ``step`` from 0; distances beyond the last are left out."""
+    counted = rows.select(key, distance, F.floor(F.col(distance) / step).cast("int").alias("bin")).where(F.col(distance) < step * bins)
+    return counted.groupBy(key, "bin").agg(F.count(F.lit(1)).alias("n"))

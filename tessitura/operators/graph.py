@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .lineage import cut, numbered
+
 #: Fifty thresholds up to 5e6, spaced by squares.
 THRESHOLDS = [5e6 * (k / 49) ** 2 for k in range(50)]
 
@@ -84,18 +86,15 @@ def edge_intersection(edges: DataFrame, other: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """node and community by label propagation: each round every node takes the label of greatest weight among its
     neighbours and its own, the smallest of equals. Deterministic; a fixed number of rounds, each cut by a checkpoint."""
-    spark = edges.sparkSession
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
     both = both_ways(edges.select("a", "b", weight.alias("weight")))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    cut = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "community"), "b").select(F.col("a").alias("node"), "community", "weight")
         own = labels.select("node", "community", F.lit(1e-9).alias("weight"))
         votes = seen.unionByName(own).groupBy("node", "community").agg(F.round(F.sum("weight"), 9).alias("votes"))
         labels = votes.groupBy("node").agg(F.max_by("community", F.struct("votes", -F.col("community"))).alias("community"))
-        if cut:
-            labels = labels.checkpoint()
+        labels = cut(labels)
     return labels
 
 
@@ -220,3 +219,9 @@ def nearest_community(links: DataFrame, members: DataFrame, missing: float = 5_0
     mean = (F.col("total") + (F.col("size") - F.col("n")) * F.lit(missing)) / F.col("size")
     dist = F.col("least") if how == "min" else mean
     return per.groupBy("node").agg(F.min_by("community", F.struct(dist.alias("d"), "community")).alias("community"), F.min(dist).alias("dist"))
+
+
+def ordered_nodes(nodes: DataFrame, *by: str) -> DataFrame:
+    """Nodes with rank from 1, by measures from the largest down and then by node."""
+    less = [f"_less{i}" for i in range(len(by))]
+    return numbered(nodes.withColumns({n: -F.col(c) for n, c in zip(less, by, strict=True)}), "rank", *less, "node").drop(*less).withColumn("rank", F.col("rank") + 1)

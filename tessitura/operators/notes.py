@@ -109,8 +109,9 @@ def valid_levels(pitches: DataFrame) -> DataFrame:
 def surface_distances(surfaces: DataFrame, power: float = 1.0) -> DataFrame:
     """Distances between sparse surfaces (rec_id, i, j, n), each scaled to sum 1 after ``n ** power``: Euclidean, Bhattacharyya.
 
-    Pairs that share no cell come with the distance of disjoint surfaces; each unordered pair once. Only cells that both
-    have are joined; the rest follows from each surface's sum of squares.
+    Each unordered pair that shares a cell once. Pairs that share none are left out, as there is nothing to join them by:
+    their Bhattacharyya distance is infinite, the Euclidean one follows from both sums of squares. Only cells that both have
+    are joined.
     """
     p = surfaces.select("rec_id", "i", "j", F.pow(F.col("n").cast("double"), F.lit(power)).alias("v"))
     p = p.withColumn("v", F.col("v") / F.sum("v").over(W.partitionBy("rec_id")))

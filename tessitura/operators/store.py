@@ -5,10 +5,12 @@ Surrogate ids are row numbers over a total order, so a table that is computed ag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .lineage import numbered
+
 #: Schemas of the four tables.
 FILE = "id BIGINT, filename STRING, mbid STRING, hasseed INT, raagaid STRING, tonic DOUBLE"
 PATTERN = "id BIGINT, file_id BIGINT, start_time DOUBLE, end_time DOUBLE, pair_id BIGINT, isseed INT"
@@ -19,24 +21,22 @@ NETWORK = "source_id BIGINT, target_id BIGINT, distance DOUBLE"
 def load_discovery(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Patterns and matches of discovered pairs (rec, rank, s1, e1, s2, e2, dist), seeds of their recordings.
 
-    Each pair gives two patterns that name each other and two matches, versions -1 and -2. Ids count by (rec, rank, side):
-    the row number of a pair needs no sort of all rows but of the pairs' own narrow keys.
+    Each pair gives two patterns that name each other and two matches, versions -1 and -2. Ids count by (rec, rank, side).
     """
-    numbered = pairs.withColumn("k", F.row_number().over(W.orderBy("rec", "rank")) - 1)
+    rows = numbered(pairs, "k", "rec", "rank")
     a, b = (2 * F.col("k") + 1).cast("long"), (2 * F.col("k") + 2).cast("long")
     side = lambda i, p, s, e: F.struct(i.alias("id"), F.col("rec").cast("long").alias("file_id"), F.col(s).alias("start_time"), F.col(e).alias("end_time"), p.alias("pair_id"), F.lit(1).alias("isseed"))
-    patterns = numbered.select(F.explode(F.array(side(a, b, "s1", "e1"), side(b, a, "s2", "e2"))).alias("p")).select("p.*")
+    patterns = rows.select(F.explode(F.array(side(a, b, "s1", "e1"), side(b, a, "s2", "e2"))).alias("p")).select("p.*")
     link = lambda i, s, t, v: F.struct(i.alias("id"), s.alias("source_id"), t.alias("target_id"), F.col("dist").alias("distance"), F.lit(v).alias("version"))
-    matches = numbered.select(F.explode(F.array(link(a, a, b, -1), link(b, b, a, -2))).alias("m")).select("m.*")
+    matches = rows.select(F.explode(F.array(link(a, a, b, -1), link(b, b, a, -2))).alias("m")).select("m.*")
     return patterns, matches
 
 
 def load_search(found: DataFrame, first_pattern: int, first_match: int, version: int = 1) -> tuple[DataFrame, DataFrame]:
     """Patterns and matches of search results (source_id, rank, file_id, start_time, end_time, dist)."""
-    k = F.row_number().over(W.orderBy("source_id", "rank")) - 1
-    numbered = found.withColumn("k", k)
-    patterns = numbered.select((F.col("k") + first_pattern).cast("long").alias("id"), "file_id", "start_time", "end_time", F.lit(None).cast("long").alias("pair_id"), F.lit(0).alias("isseed"))
-    matches = numbered.select((F.col("k") + first_match).cast("long").alias("id"), "source_id", (F.col("k") + first_pattern).cast("long").alias("target_id"), F.col("dist").alias("distance"), F.lit(version).alias("version"))
+    rows = numbered(found, "k", "source_id", "rank")
+    patterns = rows.select((F.col("k") + first_pattern).cast("long").alias("id"), "file_id", "start_time", "end_time", F.lit(None).cast("long").alias("pair_id"), F.lit(0).alias("isseed"))
+    matches = rows.select((F.col("k") + first_match).cast("long").alias("id"), "source_id", (F.col("k") + first_pattern).cast("long").alias("target_id"), F.col("dist").alias("distance"), F.lit(version).alias("version"))
     return patterns, matches
 
 
@@ -82,3 +82,28 @@ def balanced_recordings(rows: DataFrame, group: str, artist: str, key: str, leng
     ranked = rows.withColumn("turn", turn).withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("turn", artist)))
     least = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
     return ranked.join(F.broadcast(least)).where(F.col("place") <= F.col("least")).select(group, artist, key, "place")
+
+
+def empty(spark: SparkSession, columns: str) -> DataFrame:
+    """A table of the store without rows, as after a reset."""
+    return spark.createDataFrame([], columns)
+
+
+def load_network(network: DataFrame, edges: DataFrame) -> DataFrame:
+    """The network with more edges (a, b, weight) appended."""
+    return network.unionByName(edges.select(F.col("a").cast("long").alias("source_id"), F.col("b").cast("long").alias("target_id"), F.col("weight").cast("double").alias("distance")))
+
+
+def seeds(files: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of the files that have seeds."""
+    return files.where(F.col("hasseed") == 1).select(*columns)
+
+
+def phrase_spans(patterns: DataFrame, files: DataFrame) -> DataFrame:
+    """Patterns with the names of their files: id, file_id, filename, start_time, end_time."""
+    named = files.select(F.col("id").alias("file_id"), "filename")
+    return patterns.join(named, "file_id").select("id", "file_id", "filename", "start_time", "end_time")
+
+
+def count(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("n"))

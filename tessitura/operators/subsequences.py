@@ -114,3 +114,38 @@ def numbered(windows: DataFrame) -> DataFrame:
     """sub_id counted anew within each recording."""
     order = W.partitionBy("rec_id").orderBy("sub_id")
     return windows.withColumn("sub_id", (F.row_number().over(order) - 1).cast("long"))
+
+
+def near(s1: Column, s2: Column, least: float) -> Column:
+    """Whether two subsequences start less than ``least`` apart."""
+    return F.abs(s1 - s2) < least
+
+
+def flat_range(data: Column, least: float = 300.0, lowest: float = -1200.0) -> Column:
+    """Whether a subsequence spans less than ``least`` or goes below ``lowest``."""
+    return (F.array_max(data) - F.array_min(data) < least) | (F.array_min(data) < lowest)
+
+
+def thinned(data: Column, step: int) -> Column:
+    """Every ``step``-th sample of a subsequence, from the first on."""
+    return F.filter(data, lambda _, i: i % step == 0)
+
+
+def flat_windows(samples: DataFrame, length: int, share: float) -> DataFrame:
+    """rec_id and sub_id of windows with at least ``share`` of their samples marked (column flat)."""
+    frame = by_time().rowsBetween(0, length - 1)
+    marked = samples.select("rec_id", F.col("idx").alias("sub_id"), F.sum(F.col("flat").cast("int")).over(frame).alias("n"), F.count(F.lit(1)).over(frame).alias("size"))
+    return marked.where((F.col("size") == length) & (F.col("n") >= share * length)).select("rec_id", "sub_id")
+
+
+def without_listed(windows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Windows that a list of rec_id and sub_id doesn't name."""
+    return windows.join(listed.select("rec_id", "sub_id").distinct(), ["rec_id", "sub_id"], "left_anti")
+
+
+def windows_in_phrases(samples: DataFrame, length: int, hop: int = 3) -> DataFrame:
+    """Windows that lie in one phrase (column phrase), from its start on every ``hop`` samples: rec_id, phrase, sub_id, data."""
+    inside = W.partitionBy("rec_id", "phrase").orderBy("idx")
+    at = (F.row_number().over(inside) - 1) % hop
+    found = samples.select("rec_id", "phrase", F.col("idx").alias("sub_id"), at.alias("at"), F.collect_list("value").over(inside.rowsBetween(0, length - 1)).alias("data"))
+    return found.where((F.col("at") == 0) & (F.size("data") == length)).drop("at")

@@ -90,11 +90,11 @@ def gauss_smooth_hist(spark, sf):
     return notes.smooth_histogram(hist(spark, sf), "rec_id", 1.5, 3).withColumn("y", F.round("y", 6))
 
 
-PITCHES = "pitches AS (SELECT rec_id, round(log2(value / 50) * 1200, 3) AS pitch FROM samples WHERE idx % 7 = 0 AND value > 5)"
+PITCHES = "pitches AS (SELECT rec_id, round(log2(value / 50) * 1200, 3) AS pitch FROM samples WHERE value > 5)"
 
 
 def pitches(spark, sf):
-    return samples(spark, sf).where((F.col("idx") % 7 == 0) & (F.col("value") > 5)).select("rec_id", F.round(F.log2(F.col("value") / 50) * 1200, 3).alias("pitch"))
+    return samples(spark, sf).where(F.col("value") > 5).select("rec_id", F.round(F.log2(F.col("value") / 50) * 1200, 3).alias("pitch"))
 
 
 @query("extend_octaves", sql("SELECT rec_id, round(pitch + 1200 * o, 3) AS pitch FROM pitches, (SELECT unnest(range(-1, 3)) AS o)", PITCHES))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..operators.lineage import numbered
+
 #: Distance that stands for an empty slot in discovery and search files.
 EMPTY = 3.4028234e38
 
@@ -186,7 +188,7 @@ def textgrid_text(intervals: DataFrame) -> DataFrame:
 def pajek_lines(edges: DataFrame) -> DataFrame:
     """Lines of a Pajek graph (section, n, value): vertices numbered from 1 in order of the nodes, then edges."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.withColumn("n", F.row_number().over(W.orderBy("node")).cast("long"))
+    ids = numbered(nodes, "n", "node").withColumn("n", (F.col("n") + 1).cast("long"))
     count = ids.agg(F.concat(F.lit("*Vertices "), F.count(F.lit(1)).cast("string")).alias("value")).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("n"), "value")
     vertices = ids.select(F.lit(1).alias("section"), "n", F.concat(F.col("n").cast("string"), F.lit(' "'), F.col("node").cast("string"), F.lit('"')).alias("value"))
     mark = edges.sparkSession.createDataFrame([(2, 0, "*Edges")], "section int, n long, value string")
