@@ -24,7 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup (3): one document of each component of texts with a 5-word similarity of at least 0.8 stays."""
+    """Near-dedup (3): SimHash candidates by Golay keys, completed and verified; one of each component of texts with a 5-word
+    similarity of at least 0.8 stays."""
     return near_text.drop_near_duplicates(docs)
 
 
