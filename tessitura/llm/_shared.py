@@ -167,9 +167,11 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 class SpanHasher:
-    """64-bit polynomial hashes of many byte spans at once, from one prefix sum over the bytes."""
+    """64-bit polynomial hashes of many byte spans at once, from prefix sums over pieces of the bytes."""
 
     BASE = 0x9E3779B97F4A7C15
+    #: Bytes of a piece; a longer span makes one of its own.
+    PIECE = 1 << 20
 
     def __init__(self) -> None:
         self.inverse = pow(self.BASE, -1, 1 << 64)
@@ -186,8 +188,17 @@ class SpanHasher:
             self.unpowers = np.multiply.accumulate(ones)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(data)
-        self._grow(n + 1)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.powers[:n], out=prefix[1:])
-        return mix64((prefix[ends] - prefix[starts]) * self.unpowers[starts])
+        """The hash of each span; spans come in order and don't overlap."""
+        out, lo = np.empty(len(starts), np.uint64), 0
+        while lo < len(starts):
+            base = starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, base + self.PIECE, side="right")))
+            part = data[base : ends[hi - 1]]
+            n = len(part)
+            self._grow(n + 1)
+            prefix = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.table[part] * self.powers[:n], out=prefix[1:])
+            first, last = starts[lo:hi] - base, ends[lo:hi] - base
+            out[lo:hi] = mix64((prefix[last] - prefix[first]) * self.unpowers[first])
+            lo = hi
+        return out

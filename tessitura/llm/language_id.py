@@ -230,7 +230,7 @@ def _predicted(model: Broadcast[Model], with_spans: bool):
         known = model.value
         for batch in batches:
             raw, offs = utf8(batch.column("text"))
-            for lo, hi in chunks(offs, CHUNK_BYTES // 2):
+            for lo, hi in chunks(offs, CHUNK_BYTES // 4):
                 texts = [bytes(raw[offs[i] : offs[i + 1]]).decode() for i in range(lo, hi)]
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), **_labels(known, texts, with_spans)})
 
@@ -285,7 +285,7 @@ def _kept(model: Broadcast[Model], column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = utf8(batch.column(column))
-            for lo, hi in chunks(offs, CHUNK_BYTES // 2):
+            for lo, hi in chunks(offs, CHUNK_BYTES // 4):
                 texts = [bytes(raw[offs[i] : offs[i + 1]]).decode() for i in range(lo, hi)]
                 named = pa.array([x.as_py() != NO_LANGUAGE for x in _labels(model.value, texts, False)["lang_pred"]], pa.bool_())
                 yield batch.slice(lo, hi - lo).filter(named)

@@ -32,7 +32,9 @@ WORDS, LEAST = 5, "0.8"
 #: Buckets of the sketch of shingle counts, and the pieces it is added up in.
 BUCKETS, PIECES = 1 << 20, 16
 #: Sets that are compared as one block, and shingles of such a block.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: Text bytes that are turned into shingles at once, and shingles whose bits are added up at once.
+SHINGLED, PRINTED = 1 << 20, 1 << 16
 #: Columns of the matrix that counts common shingles.
 COLUMNS = 1 << 14
 _B = np.uint64(0x9FB21C651E98DF25)
@@ -81,10 +83,13 @@ def fingerprints(row: np.ndarray, found: np.ndarray, rows: int) -> np.ndarray:
     out = np.zeros(rows, np.int64)
     size = np.bincount(row, minlength=rows)
     some = np.flatnonzero(size)
-    if len(some):
-        bits = np.unpackbits(np.ascontiguousarray(found).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, (np.cumsum(size) - size)[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > size[some, None], axis=1, bitorder="little").view("<i8")[:, 0]
+    ones = np.zeros((rows, 64), np.int64)
+    for lo in range(0, len(found), PRINTED):
+        part, mine = np.ascontiguousarray(found[lo : lo + PRINTED]), row[lo : lo + PRINTED]
+        first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[mine[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    out[some] = np.packbits(2 * ones[some] > size[some, None], axis=1, bitorder="little").view("<i8")[:, 0]
     return out
 
 
@@ -95,7 +100,7 @@ def _signed(words: int):
         hasher, counts = SpanHasher(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             raw, offs = utf8(batch.column("text"))
-            for lo, hi in chunks(offs):
+            for lo, hi in chunks(offs, SHINGLED):
                 row, found = shingles(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], hasher, words)
                 np.add.at(counts, (found >> np.uint64(44)).astype(np.int64), 1)
                 names, _ = _signatures(row, found, hi - lo)
@@ -126,7 +131,7 @@ def _prefixes(words: int, least: Fraction, sketch):
         hasher, levels = SpanHasher(), np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
             raw, offs = utf8(batch.column("text"))
-            for lo, hi in chunks(offs):
+            for lo, hi in chunks(offs, SHINGLED):
                 row, found = shingles(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], hasher, words)
                 names, size = _signatures(row, found, hi - lo)
                 order = np.lexsort((found, levels[(found >> np.uint64(44)).astype(np.int64)], row))
@@ -179,7 +184,7 @@ def _named(words: int):
         hasher = SpanHasher()
         for batch in batches:
             raw, offs = utf8(batch.column("text"))
-            for lo, hi in chunks(offs):
+            for lo, hi in chunks(offs, SHINGLED):
                 names, _ = _signatures(*shingles(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], hasher, words), hi - lo)
                 yield pa.record_batch({"sig": pa.array(names), "text": batch.column("text").slice(lo, hi - lo)})
 
@@ -191,7 +196,7 @@ def _verified(words: int, least: Fraction):
         hasher = SpanHasher()
         for batch in batches:
             (raw_a, at_a), (raw_b, at_b) = utf8(batch.column("text_a")), utf8(batch.column("text_b"))
-            for lo, hi in chunks(at_a + at_b):
+            for lo, hi in chunks(at_a + at_b, SHINGLED):
                 sides = [shingles(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], hasher, words) for raw, at in ((raw_a, at_a), (raw_b, at_b))]
                 row, found = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
                 order = np.lexsort((found, row))
