@@ -9,8 +9,9 @@ Therefore, second, by a prefix filter: a set of n shingles that is linked with a
 n - ceil(LEAST n) + 1 shingles with it, in any order that all sets keep; no link is missed. The order puts rare shingles
 first by a sketch of their counts, so common passages make few candidates. Sizes and places in the order rule further
 candidates out. Sets that share a shingle are first compared along a chain. What
-fingerprints and chains leave in different components is compared in full, in pairs of blocks of bounded size whose common
-shingles a matrix product counts; no list of pairs is made.
+fingerprints and chains leave in different components is compared in pairs of blocks of bounded size; no list of pairs is
+made. First by bitmaps of two to four bits a shingle, which bound the shingles two sets can have in common from above: sets
+that no set of another component can be linked with need no more. The texts of the others are compared in full.
 """
 
 from __future__ import annotations
@@ -93,8 +94,18 @@ def fingerprints(row: np.ndarray, found: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _bitmaps(row: np.ndarray, found: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A bitmap of each row's set, of the least power of two of bits that is 64 or more and twice the set's size or more."""
+    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(1, 2 * size))).astype(np.int64)))
+    first = np.cumsum(bits) - bits
+    flags = np.zeros(int(bits.sum()), np.uint8)
+    flags[first[row] + (found & (bits[row] - 1).astype(np.uint64)).astype(np.int64)] = 1
+    offsets = np.r_[0, np.cumsum(bits // 8)]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(flags, bitorder="little"))]).cast(pa.binary())
+
+
 def _signed(words: int):
-    """key, doc_id, signature and fingerprint of every text, and the task's part of the sketch."""
+    """key, doc_id, signature, fingerprint and bitmap of every text, and the task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = SpanHasher(), np.zeros(BUCKETS, np.int64)
@@ -103,12 +114,12 @@ def _signed(words: int):
             for lo, hi in chunks(offs, SHINGLED):
                 row, found = shingles(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], hasher, words)
                 np.add.at(counts, (found >> np.uint64(44)).astype(np.int64), 1)
-                names, _ = _signatures(row, found, hi - lo)
+                names, size = _signatures(row, found, hi - lo)
                 known = {c: batch.column(c).slice(lo, hi - lo) for c in ("key", "doc_id")}
-                yield pa.record_batch(known | {"sig": pa.array(names), "fp": pa.array(fingerprints(row, found, hi - lo)), "piece": pa.nulls(hi - lo, pa.int32()), "counts": pa.nulls(hi - lo, pa.binary())})
+                yield pa.record_batch(known | {"sig": pa.array(names), "fp": pa.array(fingerprints(row, found, hi - lo)), "bits": _bitmaps(row, found, size), "piece": pa.nulls(hi - lo, pa.int32()), "counts": pa.nulls(hi - lo, pa.binary())})
         if counts.any():
             blobs = [p.tobytes() for p in counts.reshape(PIECES, -1)]
-            yield pa.record_batch({"key": pa.nulls(PIECES, pa.string()), "doc_id": pa.nulls(PIECES, pa.int64()), "sig": pa.nulls(PIECES, pa.int64()), "fp": pa.nulls(PIECES, pa.int64()), "piece": pa.array(np.arange(PIECES, dtype=np.int32)), "counts": pa.array(blobs, pa.binary())})
+            yield pa.record_batch({"key": pa.nulls(PIECES, pa.string()), "doc_id": pa.nulls(PIECES, pa.int64()), "sig": pa.nulls(PIECES, pa.int64()), "fp": pa.nulls(PIECES, pa.int64()), "bits": pa.nulls(PIECES, pa.binary()), "piece": pa.array(np.arange(PIECES, dtype=np.int32)), "counts": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -275,20 +286,62 @@ def _compared(words: int, least: Fraction):
     return run
 
 
-def _compared_blocks(members: DataFrame, rows: DataFrame, words: int, least: Fraction, block: int) -> DataFrame:
-    """Links a, b between sets of one group (low) and different components; groups are cut into blocks of bounded size."""
-    n = partitions(members.sparkSession)
-    needed = members.select(F.col("sig").alias("need")).distinct()
-    named = rows.select("text").mapInArrow(_named(words), "sig long, text string").join(needed, F.col("sig") == F.col("need"), "left_semi")
-    texts = materialize(named.groupBy(F.col("sig").alias("of")).agg(F.min("text").alias("text")), "texts")
+def _possible(least: Fraction):
+    """low and sig of the sets that a set of another component can be linked with, as far as bitmaps tell."""
+
+    def folded(raw: np.ndarray, starts: np.ndarray, size: int, to: int) -> np.ndarray:
+        return np.bitwise_or.reduce(raw[starts[:, None] + np.arange(size)].reshape(len(starts), -1, to), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "task"):
+            raw, offs = utf8(rows.column("bits"))
+            n, root, side = (rows.column(c).to_numpy() for c in ("n", "root", "side"))
+            same, lens, hit = bool(rows.column("same")[0].as_py()), np.diff(offs), np.zeros(len(n), bool)
+            sizes = np.unique(lens).tolist()
+            for size in sizes:
+                others = [x for x in sizes if x >= size and x * least.numerator < 2 * size * least.denominator]
+                at = [np.flatnonzero(lens == x) for x in others]
+                table = np.concatenate([folded(raw, offs[:-1][i], x, size) for x, i in zip(others, at, strict=True)])
+                one, all_ = at[0], np.concatenate(at)
+                common = np.zeros((len(one), len(all_)), np.float32)
+                for lo in range(0, size, COLUMNS // 32):
+                    bits = np.unpackbits(table[:, lo : lo + COLUMNS // 32], axis=1).astype(np.float32)
+                    common += bits[: len(one)] @ bits.T
+                spare = n[all_] - np.bitwise_count(table).sum(axis=1, dtype=np.int64)  # shingles that share a bit
+                most = common.astype(np.int64) + np.minimum(spare[: len(one), None], spare[None])
+                most = np.minimum(most, np.minimum(n[one][:, None], n[all_][None]))
+                near = most * (least.numerator + least.denominator) >= (n[one].astype(np.int64)[:, None] + n[all_][None]) * least.numerator
+                near &= root[one][:, None] != root[all_][None]
+                if not same:
+                    near &= side[one][:, None] != side[all_][None]
+                hit[one[near.any(axis=1)]] = True
+                hit[all_[near.any(axis=0)]] = True
+            yield pa.record_batch({c: rows.column(c).combine_chunks().filter(pa.array(hit)) for c in ("low", "sig", "root", "n")})
+
+    return run
+
+
+def _in_blocks(members: DataFrame, block: int, kept: DataFrame, column: str) -> DataFrame:
+    """Members with what ``kept`` (sig and ``column``) has of them, once for each pair of blocks of their group that they are in."""
     wanted = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("long")
     sizes = members.groupBy(F.col("low").alias("l")).agg(wanted.alias("blocks"))
     placed = members.join(sizes, F.col("low") == F.col("l")).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     first, last = F.least("mine", "other"), F.greatest("mine", "other")
-    tasks = placed.select("sig", "root", F.xxhash64("low", first, last).alias("task"), (F.col("mine") == F.col("other")).alias("same"), F.when(F.col("mine") == first, 0).otherwise(1).alias("side"))
-    full = tasks.join(texts, F.col("sig") == F.col("of")).select("task", "same", "side", "sig", "root", "text")
-    dealt = full.repartition(n, "task").sortWithinPartitions("task", "side", "sig")
+    known = ["low", "sig", "root", "n", F.xxhash64("low", first, last).alias("task"), (F.col("mine") == F.col("other")).alias("same"), F.when(F.col("mine") == first, 0).otherwise(1).alias("side")]
+    full = placed.select(*known).join(kept.select(F.col("sig").alias("of"), column), F.col("sig") == F.col("of")).drop("of")
+    return full.repartition(partitions(members.sparkSession), "task").sortWithinPartitions("task", "side", "sig")
+
+
+def _compared_blocks(members: DataFrame, bitmaps: DataFrame, rows: DataFrame, words: int, least: Fraction, block: int) -> DataFrame:
+    """Links a, b between sets of one group (low) and different components; groups are cut into blocks of bounded size."""
+    known = bitmaps.groupBy("sig").agg(F.min("bits").alias("bits"))
+    asked = _in_blocks(members, 4 * block, known, "bits").mapInArrow(_possible(least), "low long, sig long, root long, n int")
+    left = materialize(asked.distinct(), "possible")
+    needed = left.select(F.col("sig").alias("need")).distinct()
+    named = rows.select("text").mapInArrow(_named(words), "sig long, text string").join(needed, F.col("sig") == F.col("need"), "left_semi")
+    texts = materialize(named.groupBy("sig").agg(F.min("text").alias("text")), "texts")
+    dealt = _in_blocks(left, block, texts, "text")
     return materialize(dealt.mapInArrow(_compared(words, least), "a long, b long"), "near")
 
 
@@ -300,7 +353,7 @@ def _components(docs: DataFrame, words: int, least: str, block: int) -> tuple[Da
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), identity(docs["doc_id"], docs["text"]).alias("key"))
-    signed = materialize(rows.mapInArrow(_signed(words), "key string, doc_id long, sig long, fp long, piece int, counts binary"), "signatures")
+    signed = materialize(rows.mapInArrow(_signed(words), "key string, doc_id long, sig long, fp long, bits binary, piece int, counts binary"), "signatures")
     names = signed.where(F.col("sig").isNotNull()).select("key", "doc_id", "sig", "fp")
     added = signed.where(F.col("piece").isNotNull()).select("piece", "counts").repartition(PIECES, "piece").mapInArrow(_levels, "piece int, levels binary")
     found = {r.piece: bytes(r.levels) for r in added.collect()}
@@ -322,7 +375,8 @@ def _components(docs: DataFrame, words: int, least: str, block: int) -> tuple[Da
     roots = connected_components(links)
     members = materialize(_apart(groups, roots), "apart")
     if not members.isEmpty():
-        more = _compared_blocks(members, rows, words, share, block)
+        bitmaps = signed.where(F.col("sig").isNotNull()).select("sig", "bits")
+        more = _compared_blocks(members, bitmaps, rows, words, share, block)
         roots = connected_components(links.unionByName(more))
     return names.drop("fp"), roots
 
