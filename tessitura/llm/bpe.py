@@ -20,7 +20,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from ._shared import CHUNK_BYTES, utf8
+from ._shared import CHUNK_BYTES, released, utf8
 
 #: Words remembered by a worker; the table starts anew when it is full.
 CACHED_WORDS = 400_000
@@ -208,4 +208,4 @@ def encode(docs: DataFrame, vocabulary: str, *, with_ids: bool = True) -> DataFr
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_encoded(content, with_ids), schema)
+    return rows.mapInArrow(released(_encoded(content, with_ids)), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chosen, file_system, fresh_path, materialize, partitions, utf8
+from ._shared import chosen, file_system, fresh_path, materialize, partitions, released, utf8
 
 #: Bytes that a trie keeps in memory, and what a node takes beside its label.
 TRIE_BYTES, NODE_BYTES = 96 << 20, 320
@@ -234,9 +234,9 @@ def owners(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
     """One row a distinct text: sha (SHA-256, hex), keep_id (largest doc_id), keep_rows (rows that have both) and group_size."""
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    local = rows.mapInArrow(_local, "text binary, doc_id long, own long, n long")
+    local = rows.mapInArrow(released(_local), "text binary, doc_id long, own long, n long")
     dealt = local.repartition(partitions(spark), F.length("text"), F.xxhash64("text"))
-    return dealt.mapInArrow(_owners(fresh_path(spark, "tries"), limit), "sha string, keep_id long, keep_rows long, group_size long")
+    return dealt.mapInArrow(released(_owners(fresh_path(spark, "tries"), limit)), "sha string, keep_id long, keep_rows long, group_size long")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import CHUNK_BYTES, chunks, partitions, utf8
+from ._shared import CHUNK_BYTES, chunks, partitions, released, utf8
 
 BUCKETS = 1 << 17
 #: Texts a language that the model learns from, as expected by the sampling hash.
@@ -216,7 +216,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     if names:
         share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, sample / sizes[k]))])
         chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-        told = chosen.select("lang", "text").coalesce(partitions(spark)).mapInArrow(_counted(spark.sparkContext.broadcast(names)), "lang int, cell int, n long")
+        told = chosen.select("lang", "text").coalesce(partitions(spark)).mapInArrow(released(_counted(spark.sparkContext.broadcast(names))), "lang int, cell int, n long")
         table = told.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most languages * (BUCKETS + N_SCRIPTS) rows
         lang, cell, n = (table.column(c).to_numpy() for c in ("lang", "cell", "n"))
         letter = cell < BUCKETS
@@ -273,7 +273,7 @@ def identify(docs: DataFrame, model: Model, *, with_spans: bool = True) -> DataF
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double" + ", spans array<struct<start: long, end: long, lang: string>>" * with_spans
-    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model), with_spans), schema)
+    return rows.mapInArrow(released(_predicted(docs.sparkSession.sparkContext.broadcast(model), with_spans)), schema)
 
 
 def held_out(docs: DataFrame):
@@ -295,4 +295,4 @@ def _kept(model: Broadcast[Model], column: str):
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are text in some learned language, with all their columns; those that are ``und`` go."""
-    return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(model), "text"), docs.schema)
+    return docs.mapInArrow(released(_kept(docs.sparkSession.sparkContext.broadcast(model), "text")), docs.schema)

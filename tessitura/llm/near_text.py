@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SpanHasher, chosen, chunks, forest, identity, materialize, mix64, partitions, split_words, utf8
+from ._shared import SpanHasher, chosen, chunks, forest, identity, materialize, mix64, partitions, released, split_words, utf8
 from .components import connected_components
 from .simhash import fingerprint_links
 from .spool import grouped
@@ -223,11 +223,11 @@ def _verified(words: int, least: Fraction):
 def _links(pairs: DataFrame, rows: DataFrame, words: int, least: Fraction) -> DataFrame:
     """The pairs a, b of set names whose texts are similar enough."""
     needed = materialize(pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct(), "needed")
-    named = rows.select("text").mapInArrow(_named(words), "sig long, text string").join(needed, F.col("sig") == F.col("need"), "left_semi")
+    named = rows.select("text").mapInArrow(released(_named(words)), "sig long, text string").join(needed, F.col("sig") == F.col("need"), "left_semi")
     texts = materialize(named.groupBy("sig").agg(F.min("text").alias("text")), "texts")
     one, other = (texts.select(F.col("sig").alias(f"sig_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
     full = pairs.join(one, F.col("a") == F.col("sig_a")).join(other, F.col("b") == F.col("sig_b"))
-    return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, least), "a long, b long"), "near")
+    return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(released(_verified(words, least)), "a long, b long"), "near")
 
 
 def _print_pairs(names: DataFrame) -> DataFrame:
@@ -336,13 +336,13 @@ def _in_blocks(members: DataFrame, block: int, kept: DataFrame, column: str) ->
 def _compared_blocks(members: DataFrame, bitmaps: DataFrame, rows: DataFrame, words: int, least: Fraction, block: int) -> DataFrame:
     """Links a, b between sets of one group (low) and different components; groups are cut into blocks of bounded size."""
     known = bitmaps.groupBy("sig").agg(F.min("bits").alias("bits"))
-    asked = _in_blocks(members, 4 * block, known, "bits").mapInArrow(_possible(least), "low long, sig long, root long, n int")
+    asked = _in_blocks(members, 4 * block, known, "bits").mapInArrow(released(_possible(least)), "low long, sig long, root long, n int")
     left = materialize(asked.distinct(), "possible")
     needed = left.select(F.col("sig").alias("need")).distinct()
-    named = rows.select("text").mapInArrow(_named(words), "sig long, text string").join(needed, F.col("sig") == F.col("need"), "left_semi")
+    named = rows.select("text").mapInArrow(released(_named(words)), "sig long, text string").join(needed, F.col("sig") == F.col("need"), "left_semi")
     texts = materialize(named.groupBy("sig").agg(F.min("text").alias("text")), "texts")
     dealt = _in_blocks(left, block, texts, "text")
-    return materialize(dealt.mapInArrow(_compared(words, least), "a long, b long"), "near")
+    return materialize(dealt.mapInArrow(released(_compared(words, least)), "a long, b long"), "near")
 
 
 def _components(docs: DataFrame, words: int, least: str, block: int) -> tuple[DataFrame, DataFrame]:
@@ -353,15 +353,15 @@ def _components(docs: DataFrame, words: int, least: str, block: int) -> tuple[Da
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), identity(docs["doc_id"], docs["text"]).alias("key"))
-    signed = materialize(rows.mapInArrow(_signed(words), "key string, doc_id long, sig long, fp long, bits binary, piece int, counts binary"), "signatures")
+    signed = materialize(rows.mapInArrow(released(_signed(words)), "key string, doc_id long, sig long, fp long, bits binary, piece int, counts binary"), "signatures")
     names = signed.where(F.col("sig").isNotNull()).select("key", "doc_id", "sig", "fp")
-    added = signed.where(F.col("piece").isNotNull()).select("piece", "counts").repartition(PIECES, "piece").mapInArrow(_levels, "piece int, levels binary")
+    added = signed.where(F.col("piece").isNotNull()).select("piece", "counts").repartition(PIECES, "piece").mapInArrow(released(_levels), "piece int, levels binary")
     found = {r.piece: bytes(r.levels) for r in added.collect()}
     sketch = spark.sparkContext.broadcast(b"".join(found.get(k, bytes(BUCKETS // PIECES)) for k in range(PIECES)))
 
-    keyed = rows.select("text").mapInArrow(_prefixes(words, share, sketch), "key long, sig long, n int, place int")
+    keyed = rows.select("text").mapInArrow(released(_prefixes(words, share, sketch)), "key long, sig long, n int, place int")
     dealt = keyed.repartition(n, "key").sortWithinPartitions("key", "n", "sig")
-    groups = materialize(dealt.mapInArrow(_chained, "key long, sig long, n int, place int, last_sig long, last_n int, last_place int"), "shingles")
+    groups = materialize(dealt.mapInArrow(released(_chained), "key long, sig long, n int, place int, last_sig long, last_n int, last_place int"), "shingles")
 
     def possible(n_a: Column, n_b: Column, place_a: Column, place_b: Column) -> Column:
         """Sizes and places that leave room for enough common shingles, if the key is the first one in common."""
