@@ -1,6 +1,8 @@
 import random
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tessitura.llm import near_text
@@ -87,3 +89,21 @@ def test_stage_drops_all_similar_texts(spark, tmp_path):
     assert out.columns == docs.columns
     root = components_by_hand([r[:2] for r in rows])
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, r in root.items() if i == r)
+
+
+def test_bitmaps_leave_out_no_pair_that_can_be_linked():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [base, base[:330], base[60:], base[:200], rng.integers(0, 2**63, 400).astype(np.uint64), base[:3], base[:3].copy(), base[5:6]]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    size = np.array([len(x) for x in sets])
+    bits = near_text._bitmaps(row, np.concatenate(sets), size)
+    assert [8 * len(x.as_py()) for x in bits] == [1024, 1024, 1024, 512, 1024, 64, 64, 64]
+    n = len(sets)
+    known = {"task": [7] * n, "same": [True] * n, "side": [0] * n, "low": [1] * n, "sig": list(range(n)), "root": list(range(n))}
+    batch = pa.record_batch({**{c: pa.array(v) for c, v in known.items()}, "n": pa.array(size.astype(np.int32)), "bits": bits})
+    hit = {i for out in near_text._possible(Fraction("0.8"))(iter([batch])) for i in out.column("sig").to_pylist()}
+    exact = [set(x.tolist()) for x in sets]
+    linked = {i for i in range(n) for j in range(n) if i != j and len(exact[i] & exact[j]) >= 0.8 * len(exact[i] | exact[j])}
+    assert linked == {0, 1, 2, 5, 6}
+    assert hit == linked
