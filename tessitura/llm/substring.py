@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SpanHasher, fresh_path, materialize, mix64, partitions, split_words, utf8
+from ._shared import SpanHasher, fresh_path, materialize, mix64, partitions, released, split_words, utf8
 from .spool import Spool, Writer, grouped, read, written
 
 WINDOW, GRAM = 13, 5
@@ -340,17 +340,17 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, *, with_text: bool = Tru
     spark = docs.sparkSession
     n, folder = partitions(spark), fresh_path(spark, "spool")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    table = materialize(rows.mapInArrow(_spooled(folder, n, size, FILE_PHRASES, CHUNK), "part long, file string, block int, anchors binary"), "anchors")
+    table = materialize(rows.mapInArrow(released(_spooled(folder, n, size, FILE_PHRASES, CHUNK)), "part long, file string, block int, anchors binary"), "anchors")
     texts = Spool(folder, table, n)
     blocks = table.where(F.col("block").isNotNull()).repartitionById(n, F.col("block")).sortWithinPartitions("block")
-    shared = blocks.mapInArrow(_shared_anchors, "part long, file string, anchors binary")
-    asked = texts.dealt(shared).mapInArrow(_asked(folder, size), _PHRASE)
+    shared = blocks.mapInArrow(released(_shared_anchors), "part long, file string, anchors binary")
+    asked = texts.dealt(shared).mapInArrow(released(_asked(folder, size)), _PHRASE)
     # Factors that a chunk has found itself have no words and pass through.
     dealt = asked.repartition(n, "anchor").sortWithinPartitions("anchor")
-    found = materialize(dealt.mapInArrow(_blocks(hot, size), "part long, row long, start int, place int, n int, doc_id long, words binary"), "factors", compression="zstd")
+    found = materialize(dealt.mapInArrow(released(_blocks(hot, size)), "part long, row long, start int, place int, n int, doc_id long, words binary"), "factors", compression="zstd")
     short = found.where(F.col("words").isNull()).select("part", "row", "start", "n")
     every = short.unionByName(_hot_factors(found.where(F.col("words").isNotNull()), size))
     files = table.where(F.col("block").isNull()).select("part", "file")
     answers = files.unionByName(every, allowMissingColumns=True)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<start: long, end: long>>" * with_text
-    return texts.dealt(answers.select("part", "file", "row", "start", "n")).mapInArrow(_cut(folder, size, with_text), schema)
+    return texts.dealt(answers.select("part", "file", "row", "start", "n")).mapInArrow(released(_cut(folder, size, with_text)), schema)
