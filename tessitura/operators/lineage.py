@@ -5,11 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a session of one machine gets one where ``spark.checkpoint.dir`` is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessitura-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to ``spark.checkpoint.dir``; a session of one machine gets a folder where that is unset."""
     context = df.sparkSession.sparkContext

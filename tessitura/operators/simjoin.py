@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from ..functions import warping
 from ..functions.warping import Warp
+from . import blocks
 from .subsequences import SCALE_PAIRS
 
 #: Sequences of one side in a task group, and pairs whose distances are computed at once.
@@ -31,6 +32,7 @@ class Compare:
     bound: only distances below it (or up to it, if inclusive). best: the best so many of each ``per`` ('group' of blocks,
     or 'left' sequence). apart: subsequences of one recording must not overlap in time. scales: number of time scales; the
     scale is sub_id % scales. octaves: shift the right side by whole octaves of this size. self_join: only left < right.
+    digits: the best are chosen by distances rounded to so many digits, with ``root`` by their square roots, then by keys.
     """
 
     warp: Warp = Warp()
@@ -43,23 +45,23 @@ class Compare:
     octaves: float | None = None
     self_join: bool = False
     exclude_equal: bool = False
+    digits: int | None = None
+    root: bool = False
+
+    @property
+    def plain(self) -> bool:
+        """Whether all that counts of a self join is the distance, squared and of whole sequences."""
+        return not self.apart and self.scales == 1 and not self.octaves and not self.warp.local and not self.warp.open_ends and self.warp.kind == "sq_euclidean"
 
 
 FIELDS = "l_rec long, l_sub long, r_rec long, r_sub long, l_s double, l_e double, r_s double, r_e double, dist double"
 _ARROW = pa.schema([("l_rec", pa.int64()), ("l_sub", pa.int64()), ("r_rec", pa.int64()), ("r_sub", pa.int64()), *[(c, pa.float64()) for c in ("l_s", "l_e", "r_s", "r_e", "dist")]])
 
 
-def _side(rows: pa.Table) -> dict[str, np.ndarray]:
-    out = {c: rows.column(c).to_numpy() for c in ("rec_id", "sub_id", "s_time", "e_time")}
-    data = rows.column("data").combine_chunks()
-    out["data"] = data.flatten().to_numpy(zero_copy_only=False).reshape(len(data), -1) if len(data) else np.zeros((0, 0))
-    return out
-
-
 def _compared(how: Compare):
     def run(rows: pa.Table) -> pa.Table:
         side = rows.column("side").to_numpy()
-        left, right = (_side(rows.filter(pa.array(side == s))) for s in (0, 1))
+        left, right = (blocks.side(rows.filter(pa.array(side == s))) for s in (0, 1))
         if not len(left["sub_id"]) or not len(right["sub_id"]):
             return _ARROW.empty_table()
         i, j = np.meshgrid(np.arange(len(left["sub_id"])), np.arange(len(right["sub_id"])), indexing="ij")
@@ -107,14 +109,15 @@ def _compared(how: Compare):
         dist = np.full(len(i), np.inf)
         worst = how.bound
         for at in range(0, len(i), BATCH):
-            if how.best and how.per == "group" and low[at] > worst:
+            if how.best and how.per == "group" and how.digits is None and low[at] > worst:
                 break
             part = slice(at, at + BATCH)
             dist[part] = warping.distances(x[i[part]], y[j[part]] + shift[part, None], how.warp)
             if how.best and how.per == "group" and np.isfinite(dist).sum() >= how.best:
                 worst = np.partition(dist, how.best - 1)[how.best - 1]
         keep = np.flatnonzero(within(dist, how.bound) if np.isfinite(how.bound) else np.isfinite(dist))
-        order = keep[np.lexsort((right["sub_id"][j[keep]], right["rec_id"][j[keep]], left["sub_id"][i[keep]], dist[keep]))]
+        by = blocks.rounded(np.sqrt(dist[keep]) if how.root else dist[keep], how.digits)
+        order = keep[np.lexsort((right["sub_id"][j[keep]], right["rec_id"][j[keep]], left["sub_id"][i[keep]], by))]
         if how.best and how.per == "group":
             order = order[: how.best]
         elif how.best:
@@ -134,6 +137,8 @@ def compared_pairs(left: DataFrame, right: DataFrame | None, how: Compare, *, wi
 
     ``within``: only pairs of one recording; otherwise all recordings are compared with all. ``right`` None: a self join.
     """
+    if right is None and how.plain and how.self_join and how.warp.band == 0 and (how.best is None or how.per == "group"):
+        return blocks.pairs(left, bound=how.bound, inclusive=how.inclusive, best=how.best, digits=how.digits, root=how.root, within=within, fields=FIELDS, schema=_ARROW)
     if right is None:
         right = left
     need = ["rec_id", "sub_id", "s_time", "e_time", "data"]
@@ -161,8 +166,11 @@ def best_pair(windows: DataFrame, warp: Warp) -> DataFrame:
 
 def nearest(queries: DataFrame, candidates: DataFrame | None, k: int, how: Compare, *, within: bool = False) -> DataFrame:
     """The ``k`` nearest candidates of every query subsequence, with their rank."""
+    if candidates is None and how.plain and not how.self_join and not np.isfinite(how.bound):
+        return blocks.nearest(queries, k, how.warp, exclude_equal=how.exclude_equal, digits=how.digits, within=within, fields=FIELDS, schema=_ARROW)
     found = compared_pairs(queries, candidates, replace(how, best=k, per="left"), within=within)
-    order = W.partitionBy("l_rec", "l_sub").orderBy("dist", "r_rec", "r_sub")
+    by = F.col("dist") if not how.root else F.sqrt("dist")
+    order = W.partitionBy("l_rec", "l_sub").orderBy(by if how.digits is None else F.round(by, how.digits), "r_rec", "r_sub")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
