@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .lineage import cut, numbered
+from .lineage import cut, numbered, stored
 
 #: Fifty thresholds up to 5e6, spaced by squares.
 THRESHOLDS = [5e6 * (k / 49) ** 2 for k in range(50)]
@@ -87,7 +87,7 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """node and community by label propagation: each round every node takes the label of greatest weight among its
     neighbours and its own, the smallest of equals. Deterministic; a fixed number of rounds, each cut by a checkpoint."""
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-    both = both_ways(edges.select("a", "b", weight.alias("weight")))
+    both = both_ways(stored(edges.select("a", "b", weight.alias("weight")), "edges"))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "community"), "b").select(F.col("a").alias("node"), "community", "weight")

@@ -3,11 +3,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessitura.functions import warping
 from tessitura.functions.warping import Warp
-from tessitura.operators import blocks, simjoin
+from tessitura.operators import blocks, graph, simjoin
 
 ROWS = "rec_id long, sub_id long, s_time double, e_time double, data array<double>"
 
@@ -59,3 +60,18 @@ def test_nearest_against_all_pairs(spark, monkeypatch, warp, offset):
             others = [o for o in range(150) if o != k and (not within or recs[o] == recs[k])]
             want = sorted(others, key=lambda o: (d[k, o], recs[o], o))[:3]
             assert [r.r_sub for r in sorted((r for r in found if r.l_sub == k), key=lambda r: r["rank"])] == want
+
+
+def test_communities_compute_edges_once(spark):
+    """The edges may come from a comparison of all with all, so rounds must not repeat it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    edges = spark.createDataFrame([(0, 1), (1, 2), (0, 2), (5, 6), (6, 7), (5, 7)], "a long, b long").mapInArrow(run, "a long, b long")
+    found = {r.node: r.community for r in graph.communities(edges, 3).collect()}
+    assert found[0] == found[1] == found[2] and found[5] == found[6] == found[7] != found[0]
+    assert seen.value == 6
