@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .lineage import cut, numbered, stored
+from . import blocks
+from .lineage import cut, numbered, shared_folder, stored, tasks
 
 #: Fifty thresholds up to 5e6, spaced by squares.
 THRESHOLDS = [5e6 * (k / 49) ** 2 for k in range(50)]
@@ -109,53 +111,107 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(squares)).select((F.col("inside") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def _brandes(neighbours: dict[int, np.ndarray], source: int) -> dict[int, float]:
-    order, before, paths, depth = [], {source: []}, {source: 1.0}, {source: 0}
-    queue = [source]
-    for u in queue:
-        order.append(u)
-        for v in neighbours[u].tolist():
-            if v not in depth:
-                depth[v], paths[v], before[v] = depth[u] + 1, 0.0, []
-                queue.append(v)
-            if depth[v] == depth[u] + 1:
-                paths[v] += paths[u]
-                before[v].append(u)
-    share = dict.fromkeys(order, 0.0)
-    for v in reversed(order):
-        for u in before[v]:
-            share[u] += paths[u] / paths[v] * (1 + share[v])
-    share.pop(source)
-    return share
-
-
-def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+def _rows_of(first: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the list of neighbours of all neighbours of ``nodes``, and how many each has."""
+    size = first[nodes + 1] - first[nodes]
+    return np.arange(size.sum()) + np.repeat(first[nodes] - (np.cumsum(size) - size), size), size
+
+
+def _brandes(first: np.ndarray, after: np.ndarray, source: int, share: np.ndarray) -> None:
+    """Add to ``share`` what each node has of the shortest paths from ``source``; neighbours of v: after[first[v]:first[v+1]].
+
+    The search goes level by level, each a few vector operations over the edges that leave it.
+    """
+    n = len(first) - 1
+    seen, paths = np.zeros(n, bool), np.zeros(n)
+    seen[source], paths[source] = True, 1.0
+    level, steps = np.array([source]), []
+    while len(level):
+        at, size = _rows_of(first, level)
+        to = after[at]
+        fresh = np.flatnonzero(~seen[to])
+        to, by = to[fresh], np.repeat(level, size)[fresh]
+        if not len(to):
+            break
+        steps.append((by, to))
+        seen[to] = True
+        reached = np.bincount(to, paths[by], n)
+        level = np.flatnonzero(reached)
+        paths[level] = reached[level]
+    below = np.zeros(n)
+    for by, to in reversed(steps):
+        below += np.bincount(by, ((1.0 + below) / np.where(seen, paths, 1.0))[to] * paths[by], n)
+    below[source] = 0.0
+    share += below
+
+
+#: Nodes that small connected parts of a graph share a file up to; sources times edges of a task.
+_PACK, _WORK = 4096, 150_000_000
+
+
+def _packed(folder: str):
+    """Writes a graph as files of whole connected parts: nodes with the ends of their lists of neighbours, and these lists."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = (table.column(c).to_numpy() for c in "ab")
+        nodes, ends = np.unique(np.r_[a, b], return_inverse=True)
+        n, m = len(nodes), len(a)
+        u, v = np.r_[ends[:m], ends[m:]].astype(np.int32), np.r_[ends[m:], ends[:m]].astype(np.int32)
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        first = np.searchsorted(u, np.arange(n + 1))
+        part = np.arange(n, dtype=np.int32)
+        while n:
+            low = np.minimum(part, np.minimum.reduceat(part[v], first[:-1]))
+            low = low[low]
+            if (low == part).all():
+                break
+            part = low
+        sizes = np.bincount(part, minlength=n)
+        # Parts in the order of their least node; each file takes parts until it has _PACK nodes.
+        before = np.cumsum(sizes) - sizes
+        file = (before // _PACK)[part]
+        out = []
+        for f in np.unique(file).tolist():
+            mine = np.flatnonzero(file == f)
+            local = np.zeros(n, np.int32)
+            local[mine] = np.arange(len(mine))
+            at, size = _rows_of(first, mine)
+            name = blocks.put(folder, pa.table({"node": nodes[mine], "after": pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(size)], local[v[at]])}))
+            out.append((name, len(mine), len(at)))
+        return pa.table({"name": pa.array([o[0] for o in out], pa.string()), "nodes": pa.array([o[1] for o in out], pa.int64()), "ends": pa.array([o[2] for o in out], pa.int64())})
+
+    return run
+
+
+def betweenness(edges: DataFrame) -> DataFrame:
     """node and exact betweenness (unweighted paths, each pair once).
 
-    Every source is one task's work over the whole graph, so the graph is broadcast; it is refused beyond ``most_edges``.
+    Every source is a search over its connected part of the graph. One task writes these parts to files of the shared
+    folder; the sources of each are dealt out to tasks that read that file alone.
     """
     spark = edges.sparkSession
-    table = edges.select("a", "b").limit(most_edges + 1).toArrow()
-    if len(table) > most_edges:
-        raise ValueError(f"exact betweenness is meant for graphs of up to {most_edges} edges")
-    a, b = (table.column(c).to_numpy() for c in "ab")
-    u, v = np.r_[a, b], np.r_[b, a]
-    order = np.lexsort((v, u))
-    u, v = u[order], v[order]
-    nodes, first = np.unique(u, return_index=True)
-    graph = spark.sparkContext.broadcast(dict(zip(nodes.tolist(), np.split(v, first[1:]), strict=True)) if len(nodes) else {})
+    folder = f"{shared_folder(spark)}/tessitura/graph-{uuid.uuid4().hex}"
+    files = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.lit(0).alias("all")).groupBy("all").applyInArrow(_packed(folder), "name string, nodes long, ends long").collect()
+    work = []
+    for f in files:
+        some = max(1, _WORK // max(1, f.ends + 8 * f.nodes))
+        work += [(f.name, at, min(f.nodes, at + some)) for at in range(0, f.nodes, some)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, float] = {}
         for batch in batches:
-            for source in batch.column("node").to_pylist():
-                for node, x in _brandes(graph.value, source).items():
-                    total[node] = total.get(node, 0.0) + x / 2
-        yield pa.record_batch({"node": pa.array(total.keys(), pa.int64()), "part": pa.array(total.values(), pa.float64())})
-
-    sources = both_ways(edges.select("a", "b")).select(F.col("a").alias("node")).distinct()
-    parts = sources.mapInArrow(run, "node long, part double")
-    return sources.join(parts.groupBy("node").agg(F.sum("part").alias("betweenness")), "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+            for t in batch.column("id").to_pylist():
+                name, low, high = work[t]
+                graph = blocks.get(folder, name)
+                after = graph.column("after").combine_chunks()
+                first, after = after.offsets.to_numpy(), after.flatten().to_numpy()
+                share = np.zeros(len(first) - 1)
+                for source in range(low, high):
+                    _brandes(first, after, source, share)
+                yield pa.record_batch({"node": graph.column("node").combine_chunks(), "part": pa.array(share / 2)})
+
+    parts = tasks(spark, len(work)).mapInArrow(run, "node long, part double")
+    return parts.groupBy("node").agg(F.sum("part").alias("betweenness"))
 
 
 def rewire(edges: DataFrame, swaps_per_node: float = 1.0, seed: int = 0) -> DataFrame:

@@ -75,3 +75,18 @@ def test_communities_compute_edges_once(spark):
     found = {r.node: r.community for r in graph.communities(edges, 3).collect()}
     assert found[0] == found[1] == found[2] and found[5] == found[6] == found[7] != found[0]
     assert seen.value == 6
+
+
+def test_betweenness_of_many_edges(spark):
+    """More than two million edges, which were refused: all pairs of 2003 nodes but one, whose paths the others share."""
+    ids = spark.range(2003)
+    edges = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b")).where("NOT (a = 5 AND b = 9)")
+    found = {r.node: r.betweenness for r in graph.betweenness(edges).collect()}
+    assert len(found) == 2003 and all(x == pytest.approx(0.0 if k in (5, 9) else 1 / 2001) for k, x in found.items())
+
+
+def test_betweenness_of_parts(spark):
+    """Parts of the graph, a node joined to itself alone, and a path of known counts."""
+    edges = [(0, 1), (1, 2), (2, 3), (10, 11), (20, 20)]
+    found = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {0: 0.0, 1: 2.0, 2: 2.0, 3: 0.0, 10: 0.0, 11: 0.0, 20: 0.0}
