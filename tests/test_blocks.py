@@ -90,3 +90,12 @@ def test_betweenness_of_parts(spark):
     edges = [(0, 1), (1, 2), (2, 3), (10, 11), (20, 20)]
     found = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {0: 0.0, 1: 2.0, 2: 2.0, 3: 0.0, 10: 0.0, 11: 0.0, 20: 0.0}
+
+
+def test_ranks_pairs_by_rounded_roots(spark, tmp_path):
+    """The closest pairs by distances of six digits, ties by key."""
+    x = np.zeros((8, 64))
+    for k, apart in enumerate([0.1000004, 0.1000003, 0.1000002, 0.1000001]):
+        x[2 * k : 2 * k + 2, k], x[2 * k + 1, 20 + k] = 10.0, apart
+    folder = written(tmp_path, x, [0] * 8)
+    assert by_query(spark, folder, "mk_motif") == by_sql(folder, "mk_motif") == [(0, 1, 0.1), (2, 3, 0.1), (4, 5, 0.1)]
