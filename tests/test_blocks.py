@@ -99,3 +99,18 @@ def test_ranks_pairs_by_rounded_roots(spark, tmp_path):
         x[2 * k : 2 * k + 2, k], x[2 * k + 1, 20 + k] = 10.0, apart
     folder = written(tmp_path, x, [0] * 8)
     assert by_query(spark, folder, "mk_motif") == by_sql(folder, "mk_motif") == [(0, 1, 0.1), (2, 3, 0.1), (4, 5, 0.1)]
+
+
+def test_vectors_are_not_copied(spark, tmp_path):
+    """Nearest neighbours of all vectors come from blocks in files: no row is repeated for blocks, no pair is shuffled."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 64))
+    folder = written(tmp_path, x, (np.arange(600) % 3).tolist())
+    query = __spark_entry__.queries()["knn_classify"](spark, folder)
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    y = np.asarray(x, np.float32).astype(float)[:, np.arange(16) * 4]
+    square = ((y[:, None] - y) ** 2).sum(axis=2)
+    np.fill_diagonal(square, np.inf)
+    near = np.argsort(square, axis=1)[:, :5] % 3
+    assert {r.vec_id: r.guess for r in query.collect()} == {k: max(range(3), key=lambda c: ((v == c).sum(), -c)) for k, v in enumerate(near)}
