@@ -114,3 +114,18 @@ def test_vectors_are_not_copied(spark, tmp_path):
     np.fill_diagonal(square, np.inf)
     near = np.argsort(square, axis=1)[:, :5] % 3
     assert {r.vec_id: r.guess for r in query.collect()} == {k: max(range(3), key=lambda c: ((v == c).sum(), -c)) for k, v in enumerate(near)}
+
+
+def test_edges_of_labels_in_blocks(spark, tmp_path):
+    """Labels larger than a block and labels that share one; no vector is repeated for blocks."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((420, 64))
+    x[:160] = x[0] + 0.05 * x[:160]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[300:310] = x[10]
+    folder = written(tmp_path, x, [0] * 330 + [k % 9 + 1 for k in range(90)])
+    for name in ("graph_threshold", "edge_intersection"):
+        query = __spark_entry__.queries()[name](spark, folder)
+        assert "Generate" not in query._jdf.queryExecution().optimizedPlan().toString()
+        found = sorted(tuple(r) for r in query.collect())
+        assert found == by_sql(folder, name) and found
