@@ -95,7 +95,7 @@ def spooled(rows: DataFrame, within: bool) -> tuple[str, list[list[str]]]:
     return folder, [[name for _, name in sorted(found)] for _, found in sorted(cells.items())]
 
 
-class _Best:
+class Best:
     """The ``k`` best partners of each of ``m`` sequences, by distance (rounded, if ``digits``) and then by key."""
 
     def __init__(self, m: int, k: int, digits: int | None) -> None:
@@ -229,10 +229,10 @@ def _apart(left: dict, right: dict, tile: slice, exclude_equal: bool, within: bo
     return out | ~same if within else out
 
 
-def _nearest_of(left: dict, rights: Iterator[dict], k: int, warp: Warp, exclude_equal: bool, digits: int | None, within: bool) -> _Best:
+def _nearest_of(left: dict, rights: Iterator[dict], k: int, warp: Warp, exclude_equal: bool, digits: int | None, within: bool) -> Best:
     """Partners of the left block; the first of the right blocks is the left one."""
     m, x = len(left["sub_id"]), left["data"]
-    best, band = _Best(m, k, digits), x.shape[1] if warp.band is None else warp.band
+    best, band = Best(m, k, digits), x.shape[1] if warp.band is None else warp.band
     for first, right in enumerate(rights):
         y, found = right["data"], []
         take = lambda j: {c: right[c][j] for c in ("rec_id", "sub_id", "s_time", "e_time")}  # noqa: B023, E731
@@ -248,7 +248,7 @@ def _nearest_of(left: dict, rights: Iterator[dict], k: int, warp: Warp, exclude_
                 i = np.repeat(np.arange(len(square)), some)
                 j = np.argpartition(square, some - 1, axis=1)[:, :some].ravel()
                 i, j = i[~skip[i, j]], j[~skip[i, j]]
-                seeds = _Best(m, k, digits)
+                seeds = Best(m, k, digits)
                 seeds.put(i + at, take(j), _exact(x[tile], y, i, j, warp))
                 best.worst[tile] = seeds.worst[tile]
             limits = best.limits()[tile]

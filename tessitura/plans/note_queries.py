@@ -124,8 +124,7 @@ def surface_distances(spark, sf):
 
 @query("phase_knn", sql("SELECT a, b, rank::INT AS rank FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM (SELECT a, b, round(-ln(o), 9) AS d FROM (SELECT x.rec_id AS a, y.rec_id AS b, sum(sqrt(x.v * y.v)) AS o FROM p x JOIN p y ON x.i = y.i AND x.j = y.j AND x.rec_id <> y.rec_id GROUP BY 1, 2))) WHERE rank <= 3", SURFACE))
 def phase_knn(spark, sf):
-    found = notes.surface_distances(aggregates.phase_surface(samples(spark, sf), 2, 0.0, 25.0)).select("a", "b", F.round("bhattacharyya", 9).alias("d"))
-    return aggregates.top_n(graph.both_ways(found), "a", 3, F.col("d"), F.col("b")).select("a", "b", "rank")
+    return notes.nearest_surfaces(aggregates.phase_surface(samples(spark, sf), 2, 0.0, 25.0), 3, 9).select("a", "b", "rank")
 
 
 @query("completeness_stats", "SELECT field, round(count(value) / count(*), 6) AS share, count(DISTINCT value) AS different FROM (SELECT 'lang' AS field, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tessitura.functions import warping
 from tessitura.functions.warping import Warp
-from tessitura.operators import blocks, graph, simjoin
+from tessitura.operators import blocks, graph, notes, simjoin
 
 ROWS = "rec_id long, sub_id long, s_time double, e_time double, data array<double>"
 
@@ -129,3 +129,25 @@ def test_edges_of_labels_in_blocks(spark, tmp_path):
         assert "Generate" not in query._jdf.queryExecution().optimizedPlan().toString()
         found = sorted(tuple(r) for r in query.collect())
         assert found == by_sql(folder, name) and found
+
+
+def surfaces(spark):
+    rng = np.random.default_rng(4)
+    rows = {(r, int(i), int(j)): int(n) for r in range(130) for i, j, n in rng.integers(0, [6, 6, 9], (int(rng.integers(1, 12)), 3)) + [0, 0, 1]}
+    rows |= {(r + 200, i, j): n for (r, i, j), n in rows.items() if r < 30}
+    frame = spark.createDataFrame([(*k, n) for k, n in rows.items()] + [(0, None, 2, 5)], "rec_id long, i int, j int, n long")
+    total = {r: sum(n for k, n in rows.items() if k[0] == r) + 5 * (r == 0) for r in {k[0] for k in rows}}
+    share = {r: {k[1:]: n / total[r] for k, n in rows.items() if k[0] == r} for r in total}
+    return frame, share, {r: sum(v * v for v in s.values()) + (5 / total[r]) ** 2 * (r == 0) for r, s in share.items()}
+
+
+def test_nearest_surfaces_without_pairs(spark, monkeypatch):
+    """Copies of surfaces are ties, which the key settles; no pair is shuffled or joined."""
+    frame, share, _ = surfaces(spark)
+    monkeypatch.setattr(blocks, "block_size", lambda rows: 50)
+    found = notes.nearest_surfaces(frame, 3, 9)
+    assert not any(x in found._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Window", "Aggregate"))
+    far = {(a, b): sum((share[a][c] * share[b][c]) ** 0.5 for c in share[a].keys() & share[b].keys()) for a in share for b in share if a != b}
+    far = {k: round(-float(np.log(v)), 9) + 0.0 for k, v in far.items() if v > 0}
+    want = {(a, b, rank) for a in share for rank, (_, b) in enumerate(sorted((d, b) for (x, b), d in far.items() if x == a)[:3], 1)}
+    assert {(r.a, r.b, r["rank"]) for r in found.collect()} == want
