@@ -50,7 +50,7 @@ def test_nearest_against_all_pairs(spark, monkeypatch, warp, offset):
     x = rng.standard_normal((150, 12)) + offset
     x[100:110] = x[0]
     recs = (np.arange(150) % 4).tolist()
-    monkeypatch.setattr(blocks, "block_size", lambda rows: 40)
+    monkeypatch.setattr(blocks, "block_size", lambda rows, blocks=0: 40)
     rows = sequences(spark, x, recs)
     for within in (False, True):
         found = simjoin.nearest(rows, None, 3, simjoin.Compare(warp=warp, apart=False, exclude_equal=True, digits=6), within=within).collect()
@@ -141,10 +141,22 @@ def surfaces(spark):
     return frame, share, {r: sum(v * v for v in s.values()) + (5 / total[r]) ** 2 * (r == 0) for r, s in share.items()}
 
 
+def test_surface_distances_in_blocks(spark, monkeypatch):
+    """Blocks, few cells at a time, surfaces that share none and a cell that isn't known; no cell is joined."""
+    frame, share, squares = surfaces(spark)
+    monkeypatch.setattr(blocks, "block_size", lambda rows, blocks=0: 50)
+    found = notes.surface_distances(frame)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.a, r.b): (r.euclidean, r.bhattacharyya) for r in found.collect()}
+    want = {(a, b): [share[a][c] * share[b][c] for c in share[a].keys() & share[b].keys()] for a in share for b in share if a < b}
+    want = {k: (max(0.0, squares[k[0]] + squares[k[1]] - 2 * sum(v)) ** 0.5, -np.log(sum(x**0.5 for x in v))) for k, v in want.items() if v}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+
+
 def test_nearest_surfaces_without_pairs(spark, monkeypatch):
     """Copies of surfaces are ties, which the key settles; no pair is shuffled or joined."""
     frame, share, _ = surfaces(spark)
-    monkeypatch.setattr(blocks, "block_size", lambda rows: 50)
+    monkeypatch.setattr(blocks, "block_size", lambda rows, blocks=0: 50)
     found = notes.nearest_surfaces(frame, 3, 9)
     assert not any(x in found._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Window", "Aggregate"))
     far = {(a, b): sum((share[a][c] * share[b][c]) ** 0.5 for c in share[a].keys() & share[b].keys()) for a in share for b in share if a != b}
