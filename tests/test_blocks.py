@@ -163,3 +163,18 @@ def test_nearest_surfaces_without_pairs(spark, monkeypatch):
     far = {k: round(-float(np.log(v)), 9) + 0.0 for k, v in far.items() if v > 0}
     want = {(a, b, rank) for a in share for rank, (_, b) in enumerate(sorted((d, b) for (x, b), d in far.items() if x == a)[:3], 1)}
     assert {(r.a, r.b, r["rank"]) for r in found.collect()} == want
+
+
+def test_variable_lengths_are_not_copied(spark, tmp_path):
+    """Neighbours of z-normalised patterns under warping; no pattern is repeated for blocks."""
+    x = np.random.default_rng(6).standard_normal((200, 64))
+    folder = written(tmp_path, x, (np.arange(200) % 3).tolist())
+    query = __spark_entry__.queries()["search_var_len"](spark, folder)
+    assert "Generate" not in query._jdf.queryExecution().optimizedPlan().toString()
+    y = np.asarray(x, np.float32).astype(float)[:, np.arange(24) * 64 // 24]
+    y = (y - y.mean(axis=1, keepdims=True)) / y.std(axis=1, keepdims=True)
+    i, j = (v.ravel() for v in np.meshgrid(range(200), range(200), indexing="ij"))
+    far = warping.distances(y[i], y[j], Warp(band=5)).reshape(200, 200)
+    np.fill_diagonal(far, np.inf)
+    near = np.argsort(far, axis=1)[:, :5]
+    assert {(r.l_sub, r.r_sub, r["rank"]) for r in query.collect()} == {(a, b, rank) for a in range(200) for rank, b in enumerate(near[a].tolist(), 1)}
