@@ -1,8 +1,9 @@
 """Sequences of one length in blocks, each block compared with every other without a shuffle of pairs or of copies.
 
-A block is written once, to a file of the shared folder, and read by the tasks that need it. Inside a task a matrix product
-or a warping in single precision that is given up early tells which pairs can count, with a margin for its rounding errors;
-only those get their distance in double precision, by the same kernel as everywhere.
+A block is written once, to a file of the shared folder, and read by the tasks that need it. Equal sequences lie in one block
+and are compared once: it holds distinct sequences, each with those of its members that can count, and apart from them all
+members. Inside a task a matrix product or a warping, both in single precision, tells which pairs can count, with a margin
+for its rounding errors; only those get their distance in double precision, by the same kernel as everywhere.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from ..functions import warping
 from ..functions.warping import Warp
 from . import lineage
 
-#: Most sequences of a block on average, rows of a tile, pairs warped at once in double and in single precision.
+#: Most distinct sequences of a block on average, rows of a tile, pairs warped at once in double and in single precision.
 SIZE, TILE, BATCH, WARPED = 2048, 256, 4096, 16384
+#: Most values of a block with all its members, member pairs made at once.
+VALUES, MADE = 1 << 22, 1 << 18
 COLUMNS = ["rec_id", "sub_id", "s_time", "e_time", "data"]
+KEYS = COLUMNS[:4]
 
 
 def _files(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -64,34 +68,74 @@ def side(rows: pa.Table) -> dict[str, np.ndarray]:
     return out
 
 
-def spooled(rows: DataFrame, within: bool) -> tuple[str, list[list[str]]]:
+def _first(rep: np.ndarray, rec: np.ndarray, sub: np.ndarray, most: int) -> np.ndarray:
+    """Of members in the order of sequence and key, those of the first ``most`` keys of a sequence, a key so often at most."""
+    new = np.r_[True, rep[1:] != rep[:-1]]
+    fresh = new | np.r_[True, (rec[1:] != rec[:-1]) | (sub[1:] != sub[:-1])]
+    key, at = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    return (key - key[new][rep] < most) & (np.arange(len(rep)) - at[key] < most)
+
+
+def spooled(rows: DataFrame, within: bool, most: int | None) -> tuple[str, list[list[tuple[str, str]]]]:
     """Folder and names of blocks, listed by cell: blocks of a cell are compared with each other.
 
     All rows are one cell, or with ``within`` the rows of a recording; recordings that fit in a block share blocks, each a
-    cell of its own. Sequences with a value that is null or not finite have no distance and are left out.
+    cell of its own. Sequences with a value that is null or not finite have no distance and are left out. A block is two
+    files: distinct sequences (with ``within`` of a recording) with the first ``most`` members of each, and all members.
     """
     folder = f"{lineage.shared_folder(rows.sparkSession)}/tessitura/blocks-{uuid.uuid4().hex}"
     part = F.col("rec_id") if within else F.lit(0).cast("long")
-    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    size = block_size(total)
-    small = (F.col("_n") <= size) & F.lit(within)
-    shared = F.pmod(F.xxhash64("_part"), F.lit(max(1, -(-total // size))))
-    own = F.pmod(F.xxhash64("rec_id", "sub_id"), F.ceil(F.col("_n") / size)).cast("long")
-    placed = rows.select(*COLUMNS, part.alias("_part")).join(counts, "_part")
-    placed = placed.select(*COLUMNS, small.alias("_small"), F.when(small, shared).otherwise(F.col("_part")).alias("_cell"), F.when(small, 0).otherwise(own).alias("_number"))
+    rows = rows.select(*COLUMNS, part.alias("_part"), F.xxhash64("data").alias("_hash"))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("_hash").alias("_d"), F.max(F.size("data")).alias("_length"))
+    total, distinct, length, parts = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_d"), F.lit(0)), F.coalesce(F.max("_length"), F.lit(1)), F.count(F.lit(1))).first()
+    size, full = block_size(distinct), max(64, VALUES // max(1, length))
+    if not within:
+        placed = rows.withColumn("_n", F.lit(total)).withColumn("_d", F.lit(distinct))
+    else:
+        placed = rows.join(F.broadcast(counts) if parts <= 1 << 14 else counts, "_part")
+    small = (F.col("_d") <= size) & (2 * F.col("_n") <= full) & F.lit(within)
+    shared = F.pmod(F.xxhash64("_part"), F.lit(max(1, -(-distinct // size), -(-2 * total // full))))
+    own = F.pmod("_hash", F.greatest(F.ceil(F.col("_d") / size), F.ceil(2 * F.col("_n") / full)))
+    placed = placed.select(*COLUMNS, small.alias("_small"), F.when(small, shared).otherwise(F.col("_part")).alias("_cell"), F.when(small, 0).otherwise(own).cast("long").alias("_number"))
+    # Sequences of very many members are dealt out; what is compared twice for it are their few distinct ones.
+    large = placed.groupBy("_small", "_cell", "_number").agg(F.ceil(F.count(F.lit(1)) / full).alias("_times")).where("_times > 1 AND NOT _small")
+    placed = placed.join(F.broadcast(large), ["_small", "_cell", "_number"], "left")
+    placed = placed.withColumn("_turn", F.when(F.col("_times").isNull(), 0).otherwise(F.pmod(F.xxhash64("rec_id", "sub_id"), F.col("_times"))).cast("long")).drop("_times")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        kept = table.select(COLUMNS).sort_by([("rec_id", "ascending"), ("sub_id", "ascending")])
-        kept = kept.filter(pa.array(np.isfinite(side(kept)["data"]).all(axis=1)))
-        values = [key[0].as_py(), key[1].as_py(), key[2].as_py(), len(kept), put(folder, kept)]
-        return pa.table([pa.array([v], t) for v, t in zip(values, (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["small", "cell", "number", "rows", "name"])
+        found = side(table.select(COLUMNS))
+        fine = np.isfinite(found["data"]).all(axis=1)
+        found = {c: v[fine] for c, v in found.items()}
+        data, n, names = np.ascontiguousarray(found["data"] + 0.0, np.float64), 0, ["", ""]
+        if len(data):
+            what = np.column_stack([found["rec_id"] if within else np.zeros(len(data), np.int64), data.view(np.int64)])
+            _, at, rep = np.unique(np.ascontiguousarray(what).view(np.dtype((np.void, 8 * what.shape[1]))).ravel(), return_index=True, return_inverse=True)
+            order = np.lexsort((found["sub_id"], found["rec_id"], rep))
+            n, rep, members = len(at), rep[order], {c: found[c][order] for c in KEYS}
+            kept = np.ones(len(rep), bool) if most is None else _first(rep, members["rec_id"], members["sub_id"], most)
+            starts = np.r_[0, np.cumsum(np.bincount(rep[kept], minlength=n))].astype(np.int32)
+            ends = (np.arange(n + 1) * data.shape[1]).astype(np.int32)
+            lists = {c: pa.ListArray.from_arrays(starts, pa.array(v[kept])) for c, v in members.items()}
+            names = [put(folder, pa.table({"data": pa.ListArray.from_arrays(ends, data[at].ravel()), "copies": np.bincount(rep), **lists})), put(folder, pa.table({"rep": rep, **members}))]
+        values = [key[0].as_py(), key[1].as_py(), key[2].as_py(), key[3].as_py(), n, *names]
+        return pa.table([pa.array([v], t) for v, t in zip(values, (pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.string()), strict=True)], names=["small", "cell", "number", "turn", "rows", "name", "members"])
 
     cells: dict[tuple, list] = {}
-    for r in placed.groupBy("_small", "_cell", "_number").applyInArrow(run, "small boolean, cell long, number long, rows long, name string").collect():
+    for r in placed.groupBy("_small", "_cell", "_number", "_turn").applyInArrow(run, "small boolean, cell long, number long, turn long, rows long, name string, members string").collect():
         if r.rows:
-            cells.setdefault((r.small, r.cell), []).append((r.number, r.name))
-    return folder, [[name for _, name in sorted(found)] for _, found in sorted(cells.items())]
+            cells.setdefault((r.small, r.cell), []).append((r.number, r.turn, r.name, r.members))
+    return folder, [[(name, members) for _, _, name, members in sorted(found)] for _, found in sorted(cells.items())]
+
+
+def distinct(folder: str, name: str) -> dict[str, np.ndarray]:
+    """Distinct sequences of a block; the members kept of sequence k are those from start[k] to start[k + 1]."""
+    rows = get(folder, name)
+    lists = {c: rows.column(c).combine_chunks() for c in ("data", *KEYS)}
+    out = {c: v.flatten().to_numpy() for c, v in lists.items()}
+    out["data"] = out["data"].reshape(len(rows), -1)
+    out["start"] = np.r_[0, np.cumsum(pa.compute.list_value_length(lists["rec_id"]).to_numpy())]
+    out["copies"] = rows.column("copies").to_numpy()
+    return out
 
 
 class Best:
@@ -146,6 +190,23 @@ def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return out, 1e-15 * (x.shape[1] + 8) * float(qx.max(initial=0) + qy.max(initial=0))
 
 
+def _within(x: np.ndarray, y: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose squared Euclidean distance may be up to the limit of their left row, from a product in single precision."""
+    centre = x.mean(axis=0)
+    a, b = x - centre, y - centre
+    qa, qb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    if max(qa.max(initial=0), qb.max(initial=0)) < 1e30:
+        off = 1e-7 * (x.shape[1] + 8) * (2 * (qa + qb.max(initial=0)) + limits)
+        one, two = np.empty((len(a), a.shape[1] + 2), np.float32), np.empty((len(b), b.shape[1] + 2), np.float32)
+        one[:, :-2], one[:, -2], one[:, -1] = -2.0 * a, np.clip(qa - limits - off, -3e38, 3e38), 1.0
+        two[:, :-2], two[:, -2], two[:, -1] = b, 1.0, qb
+        i, j = np.divmod(np.flatnonzero(one @ two.T <= 0.0), len(y))
+        if len(i) <= 16 * len(x):
+            return i, j
+    square, off = _squares(x, y)
+    return np.nonzero(square <= limits[:, None] + off)
+
+
 def _limits32(limits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Limits in single precision: the root of a path's cost is off by the root of its cells times a value's error."""
     off = 2.4e-7 * max(np.abs(x).max(initial=0), np.abs(y).max(initial=0))
@@ -220,77 +281,143 @@ def _warpable(x: np.ndarray, y: np.ndarray, skip: np.ndarray | None, limits: np.
             yield _possible(xt, yt, i[to : to + WARPED], j[to : to + WARPED], limit, band)
 
 
-def _apart(left: dict, right: dict, tile: slice, exclude_equal: bool, within: bool) -> np.ndarray:
-    """Pairs of a block with itself that don't count; equal keys and the recordings that share a block lie nowhere else."""
-    same = left["rec_id"][tile, None] == right["rec_id"]
-    out = same & (left["sub_id"][tile, None] == right["sub_id"]) if exclude_equal else np.zeros(same.shape, bool)
-    return out | ~same if within else out
+def _apart(left: dict, right: dict, tile: slice, within: bool) -> np.ndarray | None:
+    """Pairs of different recordings in a block that these share, which don't count."""
+    return left["rec_id"][left["start"][:-1]][tile, None] != right["rec_id"][right["start"][:-1]] if within else None
 
 
-def _nearest_of(left: dict, rights: Iterator[dict], k: int, warp: Warp, exclude_equal: bool, digits: int | None, within: bool) -> Best:
-    """Partners of the left block; the first of the right blocks is the left one."""
-    m, x = len(left["sub_id"]), left["data"]
-    best, band = Best(m, k, digits), x.shape[1] if warp.band is None else warp.band
+def _members(right: dict, i: np.ndarray, j: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Left rows, right members and distances of pairs."""
+    n = np.diff(right["start"])[j]
+    at = np.repeat(np.arange(len(j)), n)
+    p = np.arange(len(at)) - (np.cumsum(n) - n - right["start"][j])[at]
+    return i[at], {c: right[c][p] for c in KEYS}, dist[at]
+
+
+def _nearest_of(left: dict, rights: Iterator[dict], k: int, warp: Warp, digits: int | None, within: bool) -> Best:
+    """Partners of the left block's distinct sequences, themselves included; the first of the right blocks is the left one."""
+    m, x = len(left["copies"]), left["data"]
+    best, band, found = Best(m, k, digits), x.shape[1] if warp.band is None else warp.band, []
     for first, right in enumerate(rights):
-        y, found = right["data"], []
-        take = lambda j: {c: right[c][j] for c in ("rec_id", "sub_id", "s_time", "e_time")}  # noqa: B023, E731
+        y = right["data"]
         for at in range(0, m, TILE):
             tile, skip = slice(at, min(m, at + TILE)), None
-            if not first or not band:
-                square, off = _squares(x[tile], y)
             if not first:
                 # A warping distance is at most the Euclidean one: the nearest by that give limits to begin with.
-                skip = _apart(left, right, tile, exclude_equal, within)
-                square[skip] = np.nan
+                square, _ = _squares(x[tile], y)
+                skip = _apart(left, right, tile, within)
+                if skip is not None:
+                    square[skip] = np.inf
                 some = min(len(y), 4 * k if band else k)
                 i = np.repeat(np.arange(len(square)), some)
                 j = np.argpartition(square, some - 1, axis=1)[:, :some].ravel()
-                i, j = i[~skip[i, j]], j[~skip[i, j]]
+                if skip is not None:
+                    i, j = i[~skip[i, j]], j[~skip[i, j]]
                 seeds = Best(m, k, digits)
-                seeds.put(i + at, take(j), _exact(x[tile], y, i, j, warp))
+                seeds.put(*_members(right, i + at, j, _exact(x[tile], y, i, j, warp)))
                 best.worst[tile] = seeds.worst[tile]
             limits = best.limits()[tile]
             if not band:
-                i, j = np.nonzero(square <= limits[:, None] + off)
-                found.append((i + at, j))
+                near = [_within(x[tile], y, limits)]
             elif x.shape[1] < 4:
-                i, j = np.nonzero(np.ones((len(limits), len(y)), bool) if skip is None else ~skip)
-                found.append((i + at, j))
+                near = [np.nonzero(np.ones((len(limits), len(y)), bool))]
             else:
-                found += [(i + at, j) for i, j in _warpable(x[tile], y, skip, limits, band)]
-        i, j = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
-        if len(i):
-            best.put(i, take(j), _exact(x, y, i, j, warp))
+                near = _warpable(x[tile], y, skip, limits, band)
+            for i, j in near:
+                if skip is not None:
+                    i, j = i[~skip[i, j]], j[~skip[i, j]]
+                if len(i):
+                    found.append(_members(right, i + at, j, _exact(x[tile], y, i, j, warp)))
+            if found and (at + TILE >= m or sum(len(f[0]) for f in found) >= 1 << 18):
+                best.put(np.concatenate([f[0] for f in found]), {c: np.concatenate([f[1][c] for f in found]) for c in KEYS}, np.concatenate([f[2] for f in found]))
+                found = []
     return best
 
 
+def _ranked(best: Best, members: pa.Table, k: int, exclude_equal: bool) -> Iterator[list[np.ndarray]]:
+    """The first ``k`` partners of each member, itself left out with ``exclude_equal``; partners are listed by sequence."""
+    start = np.searchsorted(best.owner, np.arange(len(best.worst) + 1))
+    for at in range(0, len(members), MADE // (best.k + 1) + 1):
+        part = members.slice(at, MADE // (best.k + 1) + 1)
+        rep, mine = part.column("rep").to_numpy(), {c: part.column(c).to_numpy() for c in KEYS}
+        n = (start[1:] - start[:-1])[rep]
+        i = np.repeat(np.arange(len(rep)), n)
+        p = np.arange(len(i)) - (np.cumsum(n) - n - start[rep])[i]
+        if exclude_equal:
+            other = (mine["rec_id"][i] != best.rows["rec_id"][p]) | (mine["sub_id"][i] != best.rows["sub_id"][p])
+            i, p = i[other], p[other]
+        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        i, p, rank = i[rank <= k], p[rank <= k], rank[rank <= k]
+        yield [mine["rec_id"][i], mine["sub_id"][i], best.rows["rec_id"][p], best.rows["sub_id"][p], mine["s_time"][i], mine["e_time"][i], best.rows["s_time"][p], best.rows["e_time"][p], best.rows["dist"][p], rank]
+
+
+def _batch(columns: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def nearest(rows: DataFrame, k: int, warp: Warp, *, exclude_equal: bool, digits: int | None, within: bool, fields: str, schema: pa.Schema) -> DataFrame:
     """The ``k`` nearest sequences of each, with their rank: a task has some left blocks and reads all blocks of their cell."""
-    folder, cells = spooled(rows, within)
-    tasks = [(name, cell) for cell, names in enumerate(cells) for name in names]
+    # A sequence finds itself too, as often as its key is there.
+    often = (rows.groupBy("rec_id", "sub_id").count().agg(F.max("count")).first()[0] or 0) if exclude_equal else 0
+    folder, cells = spooled(rows, within, k + often)
+    tasks = [(at, cell) for cell, names in enumerate(cells) for at in range(len(names))]
     schema = schema.append(pa.field("rank", pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column("id").to_pylist():
-                name, cell = tasks[t]
-                left, start = side(get(folder, name)), cells[cell].index(name)
+                start, cell = tasks[t]
                 order = cells[cell][start:] + cells[cell][:start]
-                best = _nearest_of(left, (side(get(folder, other)) for other in order), k, warp, exclude_equal, digits, within)
-                if len(best.owner):
-                    o, r = best.owner, best.rows
-                    columns = [left["rec_id"][o], left["sub_id"][o], r["rec_id"], r["sub_id"], left["s_time"][o], left["e_time"][o], r["s_time"], r["e_time"], r["dist"], best.place + 1]
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                best = _nearest_of(distinct(folder, order[0][0]), (distinct(folder, name) for name, _ in order), k + often, warp, digits, within)
+                for columns in _ranked(best, get(folder, order[0][1]), k, exclude_equal):
+                    yield _batch(columns, schema)
 
     return lineage.tasks(rows.sparkSession, len(tasks)).mapInArrow(run, fields + ", rank int")
 
 
+def _rowwise(rows: DataFrame, within: bool) -> tuple[str, list[list[str]]]:
+    """Folder and names of blocks, listed by cell: blocks of a cell are compared with each other.
+
+    All rows are one cell, or with ``within`` the rows of a recording; recordings that fit in a block share blocks, each a
+    cell of its own. Sequences with a value that is null or not finite have no distance and are left out.
+    """
+    folder = f"{lineage.shared_folder(rows.sparkSession)}/tessitura/blocks-{uuid.uuid4().hex}"
+    part = F.col("rec_id") if within else F.lit(0).cast("long")
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    size = block_size(total)
+    small = (F.col("_n") <= size) & F.lit(within)
+    shared = F.pmod(F.xxhash64("_part"), F.lit(max(1, -(-total // size))))
+    own = F.pmod(F.xxhash64("rec_id", "sub_id"), F.ceil(F.col("_n") / size)).cast("long")
+    placed = rows.select(*COLUMNS, part.alias("_part")).join(counts, "_part")
+    placed = placed.select(*COLUMNS, small.alias("_small"), F.when(small, shared).otherwise(F.col("_part")).alias("_cell"), F.when(small, 0).otherwise(own).alias("_number"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kept = table.select(COLUMNS).sort_by([("rec_id", "ascending"), ("sub_id", "ascending")])
+        kept = kept.filter(pa.array(np.isfinite(side(kept)["data"]).all(axis=1)))
+        values = [key[0].as_py(), key[1].as_py(), key[2].as_py(), len(kept), put(folder, kept)]
+        return pa.table([pa.array([v], t) for v, t in zip(values, (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["small", "cell", "number", "rows", "name"])
+
+    cells: dict[tuple, list] = {}
+    for r in placed.groupBy("_small", "_cell", "_number").applyInArrow(run, "small boolean, cell long, number long, rows long, name string").collect():
+        if r.rows:
+            cells.setdefault((r.small, r.cell), []).append((r.number, r.name))
+    return folder, [[name for _, name in sorted(found)] for _, found in sorted(cells.items())]
+
+
+def _equal(left: dict, right: dict, tile: slice, exclude_equal: bool, within: bool) -> np.ndarray:
+    """Pairs of a block with itself that don't count; equal keys and the recordings that share a block lie nowhere else."""
+    same = left["rec_id"][tile, None] == right["rec_id"]
+    out = same & (left["sub_id"][tile, None] == right["sub_id"]) if exclude_equal else np.zeros(same.shape, bool)
+    return out | ~same if within else out
+
+
 def pairs(rows: DataFrame, *, bound: float, inclusive: bool, best: int | None, digits: int | None, root: bool, within: bool, fields: str, schema: pa.Schema) -> DataFrame:
     """Pairs (left key below right key) with squared Euclidean distances within ``bound``, or the ``best`` so many of a task.
 
     The best are chosen by the distance, or with ``root`` by its root, rounded if ``digits``, and then by their keys.
     """
-    folder, cells = spooled(rows, within)
+    folder, cells = _rowwise(rows, within)
     if best:
         tasks = [(name, names[at:]) for names in cells for at, name in enumerate(names)]
     else:
@@ -314,7 +441,7 @@ def pairs(rows: DataFrame, *, bound: float, inclusive: bool, best: int | None, d
                         tile = slice(at, at + TILE)
                         square, off = _squares(left["data"][tile], right["data"])
                         if other == name:
-                            square[np.tri(*square.shape, at, dtype=bool) | _apart(left, right, tile, True, within)] = np.nan
+                            square[np.tri(*square.shape, at, dtype=bool) | _equal(left, right, tile, True, within)] = np.nan
                         high = min(bound, highest(worst)) if best else bound
                         if best and not np.isfinite(worst):
                             flat = square[np.isfinite(square)]

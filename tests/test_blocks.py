@@ -178,3 +178,46 @@ def test_variable_lengths_are_not_copied(spark, tmp_path):
     np.fill_diagonal(far, np.inf)
     near = np.argsort(far, axis=1)[:, :5]
     assert {(r.l_sub, r.r_sub, r["rank"]) for r in query.collect()} == {(a, b, rank) for a in range(200) for rank, b in enumerate(near[a].tolist(), 1)}
+
+
+def copies(spark, seed=5):
+    """Copies of few sequences, one of them very often, in recordings of very different size; some keys are there twice."""
+    rng = np.random.default_rng(seed)
+    some = rng.integers(0, 3, (25, 6)) + rng.standard_normal((25, 6)).round(1)
+    which = np.r_[rng.integers(0, 25, 180), np.zeros(220, int)]
+    recs = np.where(rng.random(400) < 0.7, 0, rng.integers(1, 9, 400))
+    keys = np.arange(400)
+    keys[[50, 60]], recs[[50, 60]], which[60] = keys[[51, 61]], recs[[51, 61]], which[61]
+    rows = [(int(r), int(k), float(k), float(k + 1), some[w].tolist()) for r, k, w in zip(recs, keys, which, strict=True)]
+    return spark.createDataFrame(rows, ROWS), recs, keys, some[which]
+
+
+@pytest.mark.parametrize("warp", [Warp(band=0), Warp(band=2)])
+def test_nearest_of_copies(spark, monkeypatch, warp):
+    """Copies are compared once, dealt out where they are many; ties go by key and a key never finds itself."""
+    rows, recs, keys, x = copies(spark)
+    monkeypatch.setattr(blocks, "block_size", lambda rows, blocks=0: 8)
+    monkeypatch.setattr(blocks, "VALUES", 1)
+    i, j = (v.ravel() for v in np.meshgrid(range(400), range(400), indexing="ij"))
+    d = warping.distances(x[i], x[j], warp).reshape(400, 400)
+    for within in (False, True):
+        found = simjoin.nearest(rows, None, 3, simjoin.Compare(warp=warp, apart=False, exclude_equal=True, digits=6), within=within).collect()
+        want = []
+        for a in range(400):
+            others = [b for b in range(400) if (recs[a], keys[a]) != (recs[b], keys[b]) and (not within or recs[a] == recs[b])]
+            others.sort(key=lambda b: (round(d[a, b], 6), recs[b], keys[b]))
+            want += [(recs[a], keys[a], recs[b], keys[b], keys[a], keys[b] + 1.0, round(d[a, b], 6), rank) for rank, b in enumerate(others[:3], 1)]
+        assert sorted((r.l_rec, r.l_sub, r.r_rec, r.r_sub, r.l_s, r.r_e, round(r.dist, 6), r["rank"]) for r in found) == sorted(want)
+
+
+def test_copies_are_compared_once(spark, tmp_path):
+    """60,000 vectors of which 20 differ: pairs of copies are neither compared nor listed."""
+    rng = np.random.default_rng(2)
+    some, of = rng.standard_normal((20, 64)), np.arange(60000) % 20
+    folder = written(tmp_path, some[of], (of % 7).tolist())
+    from tessitura.plans.window_queries import patterns
+
+    spool, cells = blocks.spooled(patterns(spark, folder), False, 6)
+    assert sum(len(blocks.distinct(spool, name)["copies"]) for cell in cells for name, _ in cell) == 20
+    found = {r.vec_id: r.guess for r in __spark_entry__.queries()["knn_classify"](spark, folder).collect()}
+    assert found == {k: v % 7 for k, v in enumerate(of.tolist())}
