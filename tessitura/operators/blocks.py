@@ -375,53 +375,51 @@ def nearest(rows: DataFrame, k: int, warp: Warp, *, exclude_equal: bool, digits:
     return lineage.tasks(rows.sparkSession, len(tasks)).mapInArrow(run, fields + ", rank int")
 
 
-def _rowwise(rows: DataFrame, within: bool) -> tuple[str, list[list[str]]]:
-    """Folder and names of blocks, listed by cell: blocks of a cell are compared with each other.
-
-    All rows are one cell, or with ``within`` the rows of a recording; recordings that fit in a block share blocks, each a
-    cell of its own. Sequences with a value that is null or not finite have no distance and are left out.
-    """
-    folder = f"{lineage.shared_folder(rows.sparkSession)}/tessitura/blocks-{uuid.uuid4().hex}"
-    part = F.col("rec_id") if within else F.lit(0).cast("long")
-    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    size = block_size(total)
-    small = (F.col("_n") <= size) & F.lit(within)
-    shared = F.pmod(F.xxhash64("_part"), F.lit(max(1, -(-total // size))))
-    own = F.pmod(F.xxhash64("rec_id", "sub_id"), F.ceil(F.col("_n") / size)).cast("long")
-    placed = rows.select(*COLUMNS, part.alias("_part")).join(counts, "_part")
-    placed = placed.select(*COLUMNS, small.alias("_small"), F.when(small, shared).otherwise(F.col("_part")).alias("_cell"), F.when(small, 0).otherwise(own).alias("_number"))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        kept = table.select(COLUMNS).sort_by([("rec_id", "ascending"), ("sub_id", "ascending")])
-        kept = kept.filter(pa.array(np.isfinite(side(kept)["data"]).all(axis=1)))
-        values = [key[0].as_py(), key[1].as_py(), key[2].as_py(), len(kept), put(folder, kept)]
-        return pa.table([pa.array([v], t) for v, t in zip(values, (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["small", "cell", "number", "rows", "name"])
-
-    cells: dict[tuple, list] = {}
-    for r in placed.groupBy("_small", "_cell", "_number").applyInArrow(run, "small boolean, cell long, number long, rows long, name string").collect():
-        if r.rows:
-            cells.setdefault((r.small, r.cell), []).append((r.number, r.name))
-    return folder, [[name for _, name in sorted(found)] for _, found in sorted(cells.items())]
-
-
-def _equal(left: dict, right: dict, tile: slice, exclude_equal: bool, within: bool) -> np.ndarray:
-    """Pairs of a block with itself that don't count; equal keys and the recordings that share a block lie nowhere else."""
-    same = left["rec_id"][tile, None] == right["rec_id"]
-    out = same & (left["sub_id"][tile, None] == right["sub_id"]) if exclude_equal else np.zeros(same.shape, bool)
-    return out | ~same if within else out
+def _near(left: dict, right: dict, at: int, high: float, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a tile of the left block with their distances up to ``high``; of a block with itself each pair once."""
+    tile = slice(at, at + TILE)
+    i, j = _within(left["data"][tile], right["data"], np.full(len(left["data"][tile]), high))
+    i = i + at
+    if left is right:
+        i, j = i[i < j], j[i < j]
+        if within:
+            one = left["rec_id"][left["start"][:-1]]
+            i, j = i[one[i] == one[j]], j[one[i] == one[j]]
+    dist = _exact(left["data"], right["data"], i, j, Warp(band=0))
+    keep = np.isfinite(dist) & (dist <= high)
+    return i[keep], j[keep], dist[keep]
+
+
+def _products(left: dict, right: dict, i: np.ndarray, j: np.ndarray, dist: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Pairs of members, the smaller key on the left."""
+    n, m = np.diff(left["start"])[i], np.diff(right["start"])[j]
+    ends = np.cumsum(n * m)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, MADE):
+        flat = np.arange(at, min(int(ends[-1]), at + MADE))
+        pair = np.searchsorted(ends, flat, side="right")
+        p, q = np.divmod(flat - (ends - n * m)[pair], m[pair])
+        p, q = p + left["start"][i[pair]], q + right["start"][j[pair]]
+        below = (left["rec_id"][p] < right["rec_id"][q]) | ((left["rec_id"][p] == right["rec_id"][q]) & (left["sub_id"][p] < right["sub_id"][q]))
+        above = (left["rec_id"][p] > right["rec_id"][q]) | ((left["rec_id"][p] == right["rec_id"][q]) & (left["sub_id"][p] > right["sub_id"][q]))
+        if left is right:
+            above &= i[pair] != j[pair]
+        keep = below | above
+        p, q, swap, far = p[keep], q[keep], above[keep], dist[pair[keep]]
+        one, two = ([np.where(swap, v[c][b], u[c][a]) for c in KEYS] for u, a, v, b in ((left, p, right, q), (right, q, left, p)))
+        yield [one[0], one[1], two[0], two[1], one[2], one[3], two[2], two[3], far]
 
 
 def pairs(rows: DataFrame, *, bound: float, inclusive: bool, best: int | None, digits: int | None, root: bool, within: bool, fields: str, schema: pa.Schema) -> DataFrame:
     """Pairs (left key below right key) with squared Euclidean distances within ``bound``, or the ``best`` so many of a task.
 
-    The best are chosen by the distance, or with ``root`` by its root, rounded if ``digits``, and then by their keys.
+    The best are chosen by the distance, or with ``root`` by its root, rounded if ``digits``, and then by their keys; of
+    equal sequences the first best + 1 keys can be among them, as each further one has as many partners before it.
     """
-    folder, cells = _rowwise(rows, within)
+    folder, cells = spooled(rows, within, best + 1 if best else None)
     if best:
-        tasks = [(name, names[at:]) for names in cells for at, name in enumerate(names)]
+        tasks = [(name, [other for other, _ in names[at:]]) for names in cells for at, (name, _) in enumerate(names)]
     else:
-        tasks = [(name, [other]) for names in cells for at, name in enumerate(names) for other in names[at:]]
+        tasks = [(name, [other]) for names in cells for at, (name, _) in enumerate(names) for other, _ in names[at:]]
 
     def by(dist: np.ndarray) -> np.ndarray:
         return rounded(np.sqrt(dist) if root else dist, digits)
@@ -434,38 +432,35 @@ def pairs(rows: DataFrame, *, bound: float, inclusive: bool, best: int | None, d
         for batch in batches:
             for t in batch.column("id").to_pylist():
                 name, others = tasks[t]
-                left, kept, worst = side(get(folder, name)), [], np.inf
+                left, kept, worst = distinct(folder, name), [], np.inf
                 for other in others:
-                    right = left if other == name else side(get(folder, other))
-                    for at in range(0, len(left["sub_id"]), TILE):
-                        tile = slice(at, at + TILE)
-                        square, off = _squares(left["data"][tile], right["data"])
-                        if other == name:
-                            square[np.tri(*square.shape, at, dtype=bool) | _equal(left, right, tile, True, within)] = np.nan
+                    right = left if other == name else distinct(folder, other)
+                    for at in range(0, len(left["copies"]), TILE):
                         high = min(bound, highest(worst)) if best else bound
                         if best and not np.isfinite(worst):
+                            square, off = _squares(left["data"][at : at + TILE], right["data"])
+                            if right is left:
+                                square[np.tri(*square.shape, at, dtype=bool)] = np.nan
+                                if within:
+                                    square[_apart(left, right, slice(at, at + TILE), within)] = np.nan
                             flat = square[np.isfinite(square)]
                             if len(flat) > best:
                                 high = min(bound, highest(by(max(0.0, np.partition(flat, best - 1)[best - 1] + off))))
-                        i, j = np.nonzero(square <= high + off)
-                        i += at
-                        dist = _exact(left["data"], right["data"], i, j, Warp(band=0))
-                        ok = np.isfinite(dist) & (dist <= bound if inclusive or not np.isfinite(bound) else dist < bound)
-                        i, j, dist = i[ok], j[ok], dist[ok]
-                        if not len(i):
-                            continue
-                        swap = (left["rec_id"][i] > right["rec_id"][j]) | ((left["rec_id"][i] == right["rec_id"][j]) & (left["sub_id"][i] > right["sub_id"][j]))
-                        one, two = ([np.where(swap, v[c][b], u[c][a]) for c in ("rec_id", "sub_id", "s_time", "e_time")] for u, a, v, b in ((left, i, right, j), (right, j, left, i)))
-                        columns = [one[0], one[1], two[0], two[1], one[2], one[3], two[2], two[3], dist]
-                        if not best:
-                            for to in range(0, len(dist), 1 << 16):
-                                yield pa.record_batch([pa.array(c[to : to + (1 << 16)], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-                            continue
-                        kept = columns if not kept else [np.r_[u, v] for u, v in zip(kept, columns, strict=True)]
-                        order = np.lexsort((kept[3], kept[2], kept[1], kept[0], by(kept[8])))[:best]
-                        kept = [c[order] for c in kept]
-                        worst = by(kept[8])[-1] if len(kept[8]) == best else np.inf
+                        i, j, dist = _near(left, right, at, high, within)
+                        if right is left:
+                            alike = at + np.flatnonzero(left["copies"][at : at + TILE] > 1)
+                            i, j, dist = np.r_[i, alike], np.r_[j, alike], np.r_[dist, np.zeros(len(alike))]
+                        ok = dist <= bound if inclusive or not np.isfinite(bound) else dist < bound
+                        for columns in _products(left, right, i[ok], j[ok], dist[ok]):
+                            if not best:
+                                for to in range(0, len(columns[0]), 1 << 16):
+                                    yield _batch([c[to : to + (1 << 16)] for c in columns], schema)
+                                continue
+                            kept = columns if not kept else [np.r_[u, v] for u, v in zip(kept, columns, strict=True)]
+                            order = np.lexsort((kept[3], kept[2], kept[1], kept[0], by(kept[8])))[:best]
+                            kept = [c[order] for c in kept]
+                            worst = by(kept[8])[-1] if len(kept[8]) == best else np.inf
                 if kept:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(kept, schema, strict=True)], schema=schema)
+                    yield _batch(kept, schema)
 
     return lineage.tasks(rows.sparkSession, len(tasks)).mapInArrow(run, fields)

@@ -221,3 +221,25 @@ def test_copies_are_compared_once(spark, tmp_path):
     assert sum(len(blocks.distinct(spool, name)["copies"]) for cell in cells for name, _ in cell) == 20
     found = {r.vec_id: r.guess for r in __spark_entry__.queries()["knn_classify"](spark, folder).collect()}
     assert found == {k: v % 7 for k, v in enumerate(of.tolist())}
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_pairs_of_copies(spark, monkeypatch, within):
+    """Copies are compared once, and all or the best of their pairs come out, smaller keys on the left."""
+    rows, recs, keys, x = copies(spark)
+    monkeypatch.setattr(blocks, "block_size", lambda rows, blocks=0: 8)
+    monkeypatch.setattr(blocks, "VALUES", 1)
+    square = ((x[:, None] - x) ** 2).sum(axis=2)
+    every = [(a, b) for a in range(400) for b in range(400) if (recs[a], keys[a]) < (recs[b], keys[b]) and (not within or recs[a] == recs[b])]
+    want = sorted((round(square[a, b], 6), recs[a], keys[a], recs[b], keys[b], keys[a] + 1.0, float(keys[b])) for a, b in every)
+    found = lambda how: sorted((round(r.dist, 6), r.l_rec, r.l_sub, r.r_rec, r.r_sub, r.l_e, r.r_s) for r in simjoin.compared_pairs(rows, None, how, within=within).collect())
+    assert found(simjoin.Compare(warp=Warp(band=0), apart=False, self_join=True, bound=4.005)) == [p for p in want if p[0] < 4.005]
+    best = found(simjoin.Compare(warp=Warp(band=0), apart=False, self_join=True, best=7, digits=6))
+    assert best[:7] == want[:7] and set(best) <= set(want)
+
+
+def test_closest_pairs_of_copies(spark, tmp_path):
+    """60,000 vectors of which 20 differ have 90 million pairs of copies; the closest three are those of the first keys."""
+    x = np.random.default_rng(2).standard_normal((20, 64))[np.arange(60000) % 20]
+    folder = written(tmp_path, x, [0] * 60000)
+    assert by_query(spark, folder, "mk_motif") == [(0, 20, 0.0), (0, 40, 0.0), (0, 60, 0.0)]
