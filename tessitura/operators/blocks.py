@@ -464,3 +464,34 @@ def pairs(rows: DataFrame, *, bound: float, inclusive: bool, best: int | None, d
                     yield _batch(kept, schema)
 
     return lineage.tasks(rows.sparkSession, len(tasks)).mapInArrow(run, fields)
+
+
+def group_pairs(rows: DataFrame, *, bound: float, within: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs of groups of equal sequences (p, q, their members n_p and n_q) with squared Euclidean distances up to ``bound``,
+    each once and none with itself, and the members (group, rec_id, sub_id). Very many equal sequences are several groups."""
+    folder, cells = spooled(rows, within, 1)
+    names = [name for cell in cells for name in cell]
+    number = {name: at for at, (name, _) in enumerate(names)}
+    work = [(name, other) for cell in cells for at, (name, _) in enumerate(cell) for other, _ in cell[at:]]
+    found = pa.schema([(c, pa.int64()) for c in ("p", "q", "n_p", "n_q")] + [("dist", pa.float64())])
+    member = pa.schema([(c, pa.int64()) for c in ("group", "rec_id", "sub_id")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("id").to_pylist():
+                name, other = work[t]
+                left = distinct(folder, name)
+                right = left if other == name else distinct(folder, other)
+                for at in range(0, len(left["copies"]), TILE):
+                    i, j, dist = _near(left, right, at, bound, within)
+                    yield _batch([i + (number[name] << 32), j + (number[other] << 32), left["copies"][i], right["copies"][j], dist], found)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("id").to_pylist():
+                members = get(folder, names[t][1])
+                yield _batch([members.column("rep").to_numpy() + (t << 32), *[members.column(c).to_numpy() for c in ("rec_id", "sub_id")]], member)
+
+    spark = rows.sparkSession
+    pairs = lineage.tasks(spark, len(work)).mapInArrow(run, "p long, q long, n_p long, n_q long, dist double")
+    return pairs, lineage.tasks(spark, len(names)).mapInArrow(listed, "group long, rec_id long, sub_id long")

@@ -63,6 +63,27 @@ def disparity_filter(edges: DataFrame, alpha: float, endpoint: str = "first") ->
     return joined.where(keep).select("a", "b", "weight")
 
 
+def significant_groups(pairs: DataFrame, members: DataFrame, below: float, near: float, alpha: float) -> DataFrame:
+    """Edges a < b nearer than ``near`` that the disparity filter keeps in the graph of inverse distances ``below``, where
+    nodes come in groups of equal neighbours: pairs of groups (p, q, n_p, n_q, dist) and members (group, node).
+
+    Nodes of a group have the same degree and strength, so both are summed over pairs of groups; only edges that stay are made.
+    """
+    pairs = stored(pairs.where((F.col("dist") > 0) & (F.col("dist") < below)), "groups")
+    weight = 1.0 / F.col("dist")
+    both = pairs.select("p", F.col("n_q").alias("n"), weight.alias("w")).unionByName(pairs.select(F.col("q").alias("p"), F.col("n_p").alias("n"), weight.alias("w")))
+    ends = both.groupBy("p").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("w")).alias("s"))
+
+    test = F.pow(F.greatest(F.lit(0.0), 1 - weight / F.col("s")), F.col("k") - 1) < alpha
+    some = pairs.where(F.col("dist") < near)
+    for group in ("p", "q"):
+        some = some.join(ends.withColumnRenamed("p", group), group).withColumn(f"keep_{group}", test).drop("k", "s")
+    some = some.where("keep_p OR keep_q").select("p", "q", "keep_p", "keep_q")
+    one, two = members.select(F.col("group").alias("p"), F.col("node").alias("x")), members.select(F.col("group").alias("q"), F.col("node").alias("y"))
+    made = some.join(one, "p").join(two, "q").where("(x < y AND keep_p) OR (y < x AND keep_q)")
+    return made.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """node, triangles and its clustering coefficient; nodes of one edge have 0.
 

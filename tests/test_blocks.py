@@ -243,3 +243,25 @@ def test_closest_pairs_of_copies(spark, tmp_path):
     x = np.random.default_rng(2).standard_normal((20, 64))[np.arange(60000) % 20]
     folder = written(tmp_path, x, [0] * 60000)
     assert by_query(spark, folder, "mk_motif") == [(0, 20, 0.0), (0, 40, 0.0), (0, 60, 0.0)]
+
+
+def test_edges_of_copies(spark, tmp_path, monkeypatch):
+    """Groups of copies, some of them split, give the edges of all their members; their many pairs at no distance are not made."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((40, 64))
+    x[:30] = x[0] + rng.uniform(0.005, 0.09, (30, 1)) * x[:30]
+    x = x[np.r_[np.arange(40), np.zeros(150, int), rng.integers(0, 40, 110)]]
+    labels = np.r_[np.zeros(250, int), rng.integers(0, 4, 50)].tolist()
+    monkeypatch.setattr(blocks, "block_size", lambda rows, blocks=0: 8)
+    monkeypatch.setattr(blocks, "VALUES", 1)
+    folder = written(tmp_path, x, labels)
+    found = by_query(spark, folder, "edge_intersection")
+    assert found and found == by_sql(folder, "edge_intersection")
+
+
+def test_edges_of_very_many_copies(spark, tmp_path):
+    """30,000 copies have 450 million pairs at no distance, which are no edges; each has two edges, of which the stronger stays."""
+    x = np.zeros((30002, 64))
+    x[:, 0], x[30000:, 0] = 1.0, [1.4, 2.05]
+    found = by_query(spark, written(tmp_path, x, [0] * 30002), "edge_intersection")
+    assert found == [(k, 30000) for k in range(30000)]
