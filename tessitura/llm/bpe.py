@@ -20,10 +20,12 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from ._shared import CHUNK_BYTES, released, utf8
+from ._shared import released, utf8
 
 #: Words remembered by a worker; the table starts anew when it is full.
 CACHED_WORDS = 400_000
+#: Text bytes that are cut into words at once; a byte of text takes some 25 bytes of memory while it is encoded.
+ENCODED = 1 << 20
 #: Symbols merged in one flat array.
 FLAT_SYMBOLS = 1 << 20
 
@@ -161,14 +163,10 @@ class ByteBPE:
         return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def _loaded(content: str) -> ByteBPE:
-    return ByteBPE(content)
-
-
 def _encoded(content: Broadcast[str], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(content.value)
+        # A task has a vocabulary and a table of words of its own: workers live on, and would keep them for the stages after.
+        bpe = ByteBPE(content.value)
         for batch in batches:
             raw, offs = utf8(batch.column("text"))
             view = memoryview(raw)
@@ -176,7 +174,7 @@ def _encoded(content: Broadcast[str], with_ids: bool):
             lo, n = 0, len(offs) - 1
             while lo < n:
                 hi = lo + 1
-                while hi < n and offs[hi + 1] - offs[lo] <= CHUNK_BYTES:
+                while hi < n and offs[hi + 1] - offs[lo] <= ENCODED:
                     hi += 1
                 texts = [str(view[offs[i] : offs[i + 1]], "utf-8") for i in range(lo, hi)]
                 packed = [np.frombuffer(x, "<i4") for x in bpe.encode_packed(texts)]

@@ -35,7 +35,7 @@ BUCKETS, PIECES = 1 << 20, 16
 #: Sets that are compared as one block, and shingles of such a block.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Text bytes that are turned into shingles at once, and shingles whose bits are added up at once.
-SHINGLED, PRINTED = 1 << 20, 1 << 16
+SHINGLED, PRINTED = 1 << 18, 1 << 14
 #: Columns of the matrix that counts common shingles.
 COLUMNS = 1 << 14
 _B = np.uint64(0x9FB21C651E98DF25)

@@ -1,11 +1,15 @@
+import gc
 import hashlib
 import random
+from pathlib import Path
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessitura.llm import mixing
+from tessitura.llm import bpe, mixing
 from tests.llm.test_mixing import targets_by_hand
 from tests.llm.test_near_text import components_by_hand
 
@@ -80,3 +84,13 @@ def test_stages_of_nothing_and_of_repeated_rows(spark, tmp_path):
                 assert found == sorted(map(str, [(5, text), (None, "other words altogether")]))
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(found)
         assert k or not found
+
+
+def test_encoding_leaves_nothing_in_the_worker():
+    """Workers live on for other stages: vocabulary and table of words go with the task, and long batches are cut in small pieces."""
+    content = SimpleNamespace(value=Path(public_tokenizers.path(corpus_pipeline.VOCABULARY)).read_text(encoding="utf-8"))
+    texts = ["".join(f" word{k * 7 + n}" for k in range(20_000)) for n in range(8)]
+    rows = pa.record_batch({"doc_id": pa.array(range(8), pa.int64()), "text": pa.array(texts)})
+    sizes = [len(out) for out in bpe._encoded(content, True)(iter([rows]))]
+    gc.collect()
+    assert sum(sizes) == 8 and max(sizes) < 8 and not [x for x in gc.get_objects() if isinstance(x, bpe.ByteBPE)]
