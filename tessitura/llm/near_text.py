@@ -30,8 +30,8 @@ from .simhash import fingerprint_links
 from .spool import grouped
 
 WORDS, LEAST = 5, "0.8"
-#: Buckets of the sketch of shingle counts, and the pieces it is added up in.
-BUCKETS, PIECES = 1 << 20, 16
+#: Buckets of the sketch of shingle counts, and the pieces it is added up in: rows of 8 KB, dealt over all partitions.
+BUCKETS, PIECES = 1 << 20, 1 << 10
 #: Sets that are compared as one block, and shingles of such a block.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Text bytes that are turned into shingles at once, and shingles whose bits are added up at once.
@@ -355,7 +355,7 @@ def _components(docs: DataFrame, words: int, least: str, block: int) -> tuple[Da
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), identity(docs["doc_id"], docs["text"]).alias("key"))
     signed = materialize(rows.mapInArrow(released(_signed(words)), "key string, doc_id long, sig long, fp long, bits binary, piece int, counts binary"), "signatures")
     names = signed.where(F.col("sig").isNotNull()).select("key", "doc_id", "sig", "fp")
-    added = signed.where(F.col("piece").isNotNull()).select("piece", "counts").repartition(PIECES, "piece").mapInArrow(released(_levels), "piece int, levels binary")
+    added = signed.where(F.col("piece").isNotNull()).select("piece", "counts").repartition(n, "piece").mapInArrow(released(_levels), "piece int, levels binary")
     found = {r.piece: bytes(r.levels) for r in added.collect()}
     sketch = spark.sparkContext.broadcast(b"".join(found.get(k, bytes(BUCKETS // PIECES)) for k in range(PIECES)))
 

@@ -107,3 +107,23 @@ def test_bitmaps_leave_out_no_pair_that_can_be_linked():
     linked = {i for i in range(n) for j in range(n) if i != j and len(exact[i] & exact[j]) >= 0.8 * len(exact[i] | exact[j])}
     assert linked == {0, 1, 2, 5, 6}
     assert hit == linked
+
+
+def test_sketch_is_added_up_in_small_rows():
+    """Every task sends a row a piece; 10,000 of them, a batch, stay small, and their sums are the counts of all texts."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(400)) for _ in range(6)]
+    pieces, total = [], np.zeros(near_text.BUCKETS, np.int64)
+    for task in range(3):
+        mine = texts[task : task + 4]
+        batch = pa.record_batch({"key": pa.array(map(str, range(4))), "doc_id": pa.array(range(4), pa.int64()), "text": pa.array(mine)})
+        sent = list(near_text._signed(5)(iter([batch])))[-1]
+        pieces.append(pa.record_batch({c: sent.column(c) for c in ("piece", "counts")}))
+        data = " ".join(mine).encode()
+        ends = np.cumsum([len(t.encode()) + 1 for t in mine])
+        _, found = near_text.shingles(np.frombuffer(data + b" ", np.uint8), np.r_[0, ends], near_text.SpanHasher())
+        np.add.at(total, (found >> np.uint64(44)).astype(np.int64), 1)
+    assert max(len(x.as_py()) for p in pieces for x in p.column("counts")) * 10_000 <= 100 << 20
+    (levels,) = near_text._levels(iter(pieces))
+    joined = {k: v.as_py() for k, v in zip(levels.column("piece").to_pylist(), levels.column("levels"), strict=True)}
+    assert b"".join(joined[k] for k in range(near_text.PIECES)) == (2 * np.log2(1 + total)).astype(np.uint8).tobytes()
