@@ -153,6 +153,29 @@ def test_surface_distances_in_blocks(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
 
 
+def test_surface_distances_of_copies(spark, tmp_path, monkeypatch):
+    """Many copies of few recordings, one of them more often than counts as one: each pair of recordings once, as in SQL,
+    and the result takes room by the surfaces that differ."""
+    rng = np.random.default_rng(9)
+    value = {u: rng.uniform(0, 120, 30) for u in range(12)}
+    users = [(u + 100 * k, u) for u in value for k in range(90 if u else 150)] + [(50000, 12), (50001, 13)]
+    value |= {12: rng.uniform(0, 120, 30), 13: rng.uniform(9000, 9100, 5)}
+    rows = [(n, 1000000 * k, user, float(v)) for n, (user, u) in enumerate(users) for k, v in enumerate(value[u])]
+    columns = dict(zip(("event_id", "ts", "user_id", "value"), zip(*rows, strict=True), strict=True))
+    types = {"event_id": pa.int64(), "ts": pa.timestamp("us"), "user_id": pa.int64(), "value": pa.float64()}
+    pq.write_table(pa.table({k: pa.array(v, types[k]) for k, v in columns.items()}), f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(blocks, "block_size", lambda rows, blocks=0: 400)
+    monkeypatch.setattr(notes, "_COPIES", 64)
+    __spark_entry__.queries()["surface_distances"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    with duckdb.connect() as base:
+        base.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'; CREATE TABLE found AS FROM '{tmp_path}/out/*.parquet'")
+        base.sql(f"CREATE TABLE wanted AS {__spark_entry__.oracle_sql()['surface_distances']}")
+        n, wanted = (base.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("found", "wanted"))
+        same = base.sql("SELECT count(*) FROM found f JOIN wanted w USING (a, b) WHERE abs(f.euclidean - w.euclidean) < 2e-6 AND abs(f.bhattacharyya - w.bhattacharyya) < 2e-6").fetchall()[0][0]
+    assert n == wanted == same == 1141 * 1140 // 2
+    assert sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < n
+
+
 def test_nearest_surfaces_without_pairs(spark, monkeypatch):
     """Copies of surfaces are ties, which the key settles; no pair is shuffled or joined."""
     frame, share, _ = surfaces(spark)
